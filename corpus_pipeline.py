@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioq.llm import neardup
+from folioq.llm import langid, neardup
 from folioq.llm._spark import stash, table
 
 STAGES = [
+    ("language_id", langid.stage),
     ("near_dedup", neardup.stage),
 ]
 

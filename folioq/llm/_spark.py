@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioq.llm._text import slices
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
@@ -44,3 +50,35 @@ def ranked(df: DataFrame, key: str, tie: list[str], rank: str = "rank", salts: i
     sizes = sizes.select(key, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
     local = F.row_number().over(Window.partitionBy(key, "_salt").orderBy(*tie)) - 1
     return df.withColumn("_local", local).join(sizes, [key, "_salt"]).withColumn(rank, F.col("_from") + F.col("_local")).drop("_salt", "_from", "_local")
+
+
+def map_texts(docs: DataFrame, fn: Callable, schema: str, most: int = 2 << 20) -> DataFrame:
+    """Apply fn(texts) -> (keep mask or None, {column: array}) to slices of (doc_id, text) of about `most` characters.
+
+    The result has doc_id and fn's columns, for the rows that the mask keeps. A null text reaches fn as None.
+    """
+    names = [part.split()[0] for part in re.split(r",\s*(?![^<]*>)", schema)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for part in slices(np.array([len(t or "") for t in texts], np.int64), most):
+                mask, columns = fn(texts[part])
+                arrays = [batch.column(0)[part.start : part.stop], *(c if isinstance(c, pa.Array) else pa.array(c) for c in (columns[n] for n in names))]
+                yield pa.RecordBatch.from_arrays([a if mask is None else a.filter(pa.array(mask)) for a in arrays], ["doc_id", *names])
+
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return known.mapInArrow(run, f"doc_id long, {schema}")
+
+
+def keep_texts(docs: DataFrame, fn: Callable, most: int = 2 << 20) -> DataFrame:
+    """Rows of `docs`, with all their columns, for which fn(texts) gives True; fn sees slices of about `most` characters."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            keep = [fn(texts[part]) for part in slices(np.array([len(t or "") for t in texts], np.int64), most)]
+            yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
+
+    return docs.mapInArrow(run, docs.schema)
