@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioq.llm import langid, neardup
+from folioq.llm import decontaminate, langid, neardup, packing
 from folioq.llm._spark import stash, table
 
 STAGES = [
     ("language_id", langid.stage),
     ("near_dedup", neardup.stage),
+    ("decontamination", decontaminate.stage),
+    ("packing", packing.stage),
 ]
 
 #: No SQL: signatures, alignment, trained models and loopy inference have no counterpart there.

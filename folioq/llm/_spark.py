@@ -82,3 +82,15 @@ def keep_texts(docs: DataFrame, fn: Callable, most: int = 2 << 20) -> DataFrame:
             yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
 
     return docs.mapInArrow(run, docs.schema)
+
+
+#: Up to so many ids travel to every executor (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """`docs` without the rows whose doc_id is in `ids` (one column, written before); rows without doc_id stay."""
+    ids = ids.toDF("_gone")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs["doc_id"].cast("long") == ids["_gone"], "left_anti")

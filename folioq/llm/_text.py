@@ -21,11 +21,6 @@ SPACE = np.zeros(256, bool)
 SPACE[:33] = True
 SPACE[127] = True
 
-#: Lower-casing of ASCII letters; every other byte stays.
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalising permutation of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -74,12 +69,10 @@ def as_bytes(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join(raw) + b"\n", np.uint8) if raw else np.zeros(0, np.uint8), offset
 
 
-def words(texts: list, lower: bool = True, hashed: bool = True) -> Words:
-    """Words (maximal runs without white space) of each text, with hashes."""
-    data, offset = as_bytes(texts)
-    if lower:
-        data = LOWER[data]
-    inside = ~SPACE[data]
+def words(texts: list, lower: bool = True, hashed: bool = True, space: np.ndarray = SPACE) -> Words:
+    """Words (maximal runs of bytes that are not in `space`) of each text, with hashes."""
+    data, offset = as_bytes([t and t.lower() for t in texts] if lower else texts)
+    inside = ~space[data]
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     start, end = edge[::2], edge[1::2]
     doc = np.searchsorted(offset, start, "right") - 1

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioq.llm._spark import stash, table
+from folioq.llm._spark import stash, table, without
 from folioq.llm._text import grams, range_hash, slices, words
 
 COORDINATES = 64
@@ -132,9 +132,8 @@ def drop_near(docs: DataFrame, **params) -> DataFrame:
     """`docs` without all but the least doc_id of each near-duplicate group. Documents in no group stay as they are,
     those without doc_id or words among them; rows that share a doc_id stay or go together."""
     pairs = stash(near_pairs(docs, **params), "pairs")
-    gone = components(pairs, "doc_a", "doc_b").where("node != root").select(F.col("node").alias("_gone"))
-    gone = stash(gone, "gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    gone = components(pairs, "doc_a", "doc_b").where("node != root").select("node")
+    return without(docs, stash(gone, "gone"))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
