@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioq.llm import decontaminate, langid, neardup, packing
+from folioq.llm import decontaminate, langid, neardup, packing, pii
 from folioq.llm._spark import stash, table
 
 STAGES = [
     ("language_id", langid.stage),
     ("near_dedup", neardup.stage),
     ("decontamination", decontaminate.stage),
+    ("pii", pii.stage),
     ("packing", packing.stage),
 ]
 
