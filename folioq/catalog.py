@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioq.plans import retrieval, text
+from folioq.plans import pages, retrieval, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (text, retrieval):
+for _part in (text, retrieval, pages):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL

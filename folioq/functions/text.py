@@ -292,7 +292,7 @@ def is_section_heading(text: Column, table_heavy: Column, tagged: Column) -> Col
     """Whether a unit opens a section; `tagged`: the parser called it a heading."""
     flat = compact(F.coalesce(text, F.lit("")))
     low, n = F.lower(flat), word_count(flat)
-    numbered = flat.rlike(r"(?i)^\s*(\d+(\.\d+)?|[IVXLCDM]+)\b")
+    numbered = flat.rlike(r"(?i)^\s*(\d+(\.\d+)?|[IVXLCDM]+)(?![\p{L}\p{N}_])")
     rest = F.trim(F.regexp_replace(low, r"(?i)^\s*(\d+(\.\d+)?|[IVXLCDM]+)[.)\-: ]*", ""))
     cell = ~low.rlike(f"^({SECTIONS})") & ~F.endswith(flat, F.lit(":")) & (n <= 6)
     return (
@@ -311,7 +311,7 @@ def is_verse(text: Column, only_latin: Column | None = None) -> Column:
     t = F.trim(F.coalesce(text, F.lit("")))
     flat = compact(t)
     low, n = F.lower(flat), word_count(flat)
-    lines = F.filter(F.transform(F.split(t, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     row = low.rlike(r"^(s\.no|sample no|parameter|inference)") | (flat.rlike(SERIAL) & (n <= 8)) | ((numbers(flat) >= 3) & (n <= 12))
     reference = (
         low.rlike(r"^(table |table no|fig|references|reference|chapter )|www\.|issn")
