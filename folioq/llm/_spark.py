@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -11,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from folioq.llm._text import slices
@@ -37,6 +40,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bound of the Arrow batches that go to Python: rows, and bytes (one row may be longer).
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """df.mapInArrow in batches of bounded size; a task gives its memory back to the system when it ends, as its Python
+    process serves other tasks after it."""
+    for key, value in BATCH.items():
+        df.sparkSession.conf.set(key, value)
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(bounded, schema)
+
+
 def ranked(df: DataFrame, key: str, tie: list[str], rank: str = "rank", salts: int = 64) -> DataFrame:
     """Add `rank`, 0, 1, ... among the rows of equal integer `key`, without one task per key.
 
@@ -68,7 +90,7 @@ def map_texts(docs: DataFrame, fn: Callable, schema: str, most: int = 2 << 20) -
                 yield pa.RecordBatch.from_arrays([a if mask is None else a.filter(pa.array(mask)) for a in arrays], ["doc_id", *names])
 
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return known.mapInArrow(run, f"doc_id long, {schema}")
+    return map_arrow(known, run, f"doc_id long, {schema}")
 
 
 def keep_texts(docs: DataFrame, fn: Callable, most: int = 2 << 20) -> DataFrame:
@@ -81,7 +103,7 @@ def keep_texts(docs: DataFrame, fn: Callable, most: int = 2 << 20) -> DataFrame:
             keep = [fn(texts[part]) for part in slices(np.array([len(t or "") for t in texts], np.int64), most)]
             yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 #: Up to so many ids travel to every executor (8 bytes each); more are joined by a shuffle.

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioq.llm._spark import stash, table, without
+from folioq.llm._spark import map_arrow, stash, table, without
 from folioq.llm._text import SPACE, Words, grams, slices, words
 
 GRAM = 3
@@ -145,7 +145,7 @@ def candidates(docs: DataFrame, index: Index, names: list) -> DataFrame:
                 )
 
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    return known.mapInArrow(run, "gram long, n long, doc_id long, item_id long, start long, passage array<long>, hits array<long>")
+    return map_arrow(known, run, "gram long, n long, doc_id long, item_id long, start long, passage array<long>, hits array<long>")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         value[lot], end[lot] = align([tests[k] for k in lot], [texts[k] for k in lot])
                 yield pa.RecordBatch.from_arrays([who, item, pa.array(value), start, pa.array(start.to_numpy() + end + 1)], ["doc_id", "item_id", "score", "start", "end"])
 
-        aligned = chosen.select("doc_id", "item_id", "start", "passage").mapInArrow(score, columns).where(F.col("score") >= SCORE)
+        aligned = map_arrow(chosen.select("doc_id", "item_id", "start", "passage"), score, columns).where(F.col("score") >= SCORE)
         found = aligned if found is None else found.union(aligned)
     best = F.max_by(F.struct("score", "start", "end"), F.struct("score", -F.col("start"), -F.col("end")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.score", "b.start", "b.end")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioq.llm._spark import stash, table, without
+from folioq.llm._spark import map_arrow, stash, table, without
 from folioq.llm._text import grams, range_hash, slices, words
 
 COORDINATES = 64
@@ -71,7 +71,7 @@ def signed(docs: DataFrame, coordinates: int = COORDINATES, shingle: int = SHING
                 yield pa.RecordBatch.from_arrays([ids[part.start : part.stop].filter(pa.array(any_word)), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "sig"])
 
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    return known.mapInArrow(run, "doc_id long, sig array<int>")
+    return map_arrow(known, run, "doc_id long, sig array<int>")
 
 
 def near_pairs(docs: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES, shingle: int = SHINGLE) -> DataFrame:

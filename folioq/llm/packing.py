@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioq.llm._spark import ranked, stash, table
+from folioq.llm._spark import map_arrow, ranked, stash, table
 
 CAPACITY = 2048
 SMALL = 8
@@ -177,7 +177,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, smal
             row = steps[np.searchsorted(steps[:, 0], at, "right") - 1]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(row[:, 1] + (at - row[:, 0]) // row[:, 2]), pa.array(at)], ["doc_id", "piece", "start", "length", "bin", "at"])
 
-    placed = ranked(cut, "length", ["doc_id", "piece"]).select("doc_id", "piece", "start", "length", "rank").mapInArrow(place, "doc_id long, piece int, start long, length int, bin long, at long")
+    placed = map_arrow(ranked(cut, "length", ["doc_id", "piece"]).select("doc_id", "piece", "start", "length", "rank"), place, "doc_id long, piece int, start long, length int, bin long, at long")
     before = Window.partitionBy("bin").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("int")).drop("at")
 

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioq.llm._spark import shared_dir, stash, table
+from folioq.llm._spark import map_arrow, shared_dir, stash, table
 from folioq.llm._text import _GRAM as BASE
 from folioq.llm._text import grams, mix, range_hash, slices, words
 
@@ -222,7 +222,7 @@ def _anchored(docs: DataFrame) -> DataFrame:
                 doc, place, anchor, segment = anchors(texts[part])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[part.start + doc]), pa.array(place.astype(np.int32)), pa.array(anchor), pa.array(segment)], ["row", "place", "anchor", "segment"])
 
-    return docs.select("row", "text").mapInArrow(run, "row long, place int, anchor long, segment long")
+    return map_arrow(docs.select("row", "text"), run, "row long, place int, anchor long, segment long")
 
 
 def _worded(texts: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def _worded(texts: DataFrame) -> DataFrame:
                 hashes = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(w.hash[at].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*(flat.field(n) for n in names), hashes], [*names, "words"])
 
-    return texts.mapInArrow(run, kind)
+    return map_arrow(texts, run, kind)
 
 
 def _sorted_out(segments: DataFrame, folder: str) -> DataFrame:
@@ -285,7 +285,7 @@ def _sorted_out(segments: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], ["anchor", "segment", "lo", "hi"])
 
     together = segments.select("anchor", "segment", "least", "greatest", "words").repartition("anchor").sortWithinPartitions("anchor")
-    return together.mapInArrow(run, "anchor long, segment long, lo int, hi int")
+    return map_arrow(together, run, "anchor long, segment long, lo int, hi int")
 
 
 def _grouped_out(segments: DataFrame) -> DataFrame:

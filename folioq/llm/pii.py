@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioq.llm._spark import map_texts, table
+from folioq.llm._spark import map_arrow, map_texts, table
 from folioq.llm._text import SPACE, slices, words
 
 #: Bound of the training sample, in documents with candidates.
@@ -302,7 +302,7 @@ def redacted(docs: DataFrame) -> DataFrame:
                     columns[size] = pa.array([len(changed[k]) if k in changed and v is not None else v for k, v in enumerate(n)], columns[size].type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def op2_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
