@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioq.plans import evidence, pages, places, retrieval, store, text
+from folioq.plans import evidence, ingest, pages, places, retrieval, store, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (text, retrieval, store, pages, places, evidence):
+for _part in (text, retrieval, store, pages, places, evidence, ingest):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL

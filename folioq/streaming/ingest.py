@@ -7,6 +7,7 @@ again after a failure gives the same collection.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from folioq.operators.store import latest, upsert
@@ -36,7 +37,5 @@ def current(spark: SparkSession, folder: str, version: int) -> DataFrame:
 
 def event_counts(events: DataFrame, late: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
     """Stream of (start, event_type, n): run events a window, with late ones up to a limit."""
-    from pyspark.sql import functions as F
-
-    counted = events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    counted = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n"))
     return counted.select(F.col("window.start").alias("start"), "event_type", "n")

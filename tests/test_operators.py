@@ -164,3 +164,52 @@ def test_answer_ladder(spark):
 def test_scorer_seam(spark):
     df = spark.createDataFrame([("a b", "b c", 1), ("", None, 2)], "query string, text string, id int")
     assert [(r.id, r.score) for r in seams.scored(df, seams.overlap_scorer).orderBy("id").collect()] == [(1, 0.5), (2, 0.0)]
+
+
+def test_placements_link_and_suppress(spark):
+    import numpy as np
+
+    from folioq.operators import ingest as I
+
+    rng = np.random.default_rng(0)
+    rows = [(1, k, float(x), float(y), float(x) + 30, float(y) + 30, float(s)) for k, (x, y, s) in enumerate(zip(rng.integers(0, 400, 40), rng.integers(0, 400, 40), rng.random(40), strict=True))]
+    df = spark.createDataFrame(rows, "page_id long, id long, x0 double, y0 double, x1 double, y1 double, score double")
+    group = {r[1]: r[1] for r in rows}
+    for _ in rows:
+        for a in rows:
+            for b in rows:
+                if a[2] - 10 <= b[4] + 10 and b[2] - 10 <= a[4] + 10 and a[3] - 10 <= b[5] + 10 and b[3] - 10 <= a[5] + 10:
+                    group[a[1]] = group[b[1]] = min(group[a[1]], group[b[1]])
+    assert {r.id: r.component for r in I.components(df).collect()} == group
+
+    def share(a, b):
+        w, h = min(a[4], b[4]) - max(a[2], b[2]), min(a[5], b[5]) - max(a[3], b[3])
+        inter = w * h if w > 0 and h > 0 else 0
+        return inter / (1800 - inter)
+
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r[6], r[1])):
+        if all(share(r, k) < 0.3 for k in kept):
+            kept.append(r)
+    assert {r.id for r in I.suppress(df, 0.3).collect()} == {r[1] for r in kept} and len(kept) < 40
+
+
+def test_stream_frames(spark):
+    from folioq.operators import ingest as I
+
+    df = spark.createDataFrame([("event: token\ndata: a\ndata: b\n\n: ping\n\ndata: {\"x\":1}\r\n\r\nevent: end\n\n",), ("",), (None,)], "b string")
+    got = [r.f for r in df.select(I.frames(F.col("b")).alias("f")).collect()]
+    assert [tuple(x) for x in got[0]] == [("token", "a\nb"), ("message", '{"x":1}')] and got[1] == [] and got[2] is None
+
+
+def test_each_text_is_embedded_once(spark):
+    from folioq.operators import ingest as I
+
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id int, text string")
+    seen = []
+
+    def embed(texts):
+        seen.append(texts.count())
+        return texts.withColumn("vec", F.length("text"))
+
+    assert I.embed_once(df, embed).count() == 3 and seen == [2]
