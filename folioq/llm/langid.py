@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioq.llm._spark import keep_texts, map_texts, table
+from folioq.llm._spark import keep_texts, map_texts, sampled, table
 from folioq.llm._text import as_bytes
 
 #: Bound of the training sample: labelled rows, and windows drawn from each.
@@ -228,7 +228,7 @@ def fitted(docs: DataFrame) -> dict:
     """Train on the TRAIN_ROWS labelled rows of least hash."""
     order = F.xxhash64("doc_id", "text")
     known = docs.where("lang IS NOT NULL AND length(text) > 0").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), order.alias("h"))
-    rows = known.orderBy("h").limit(TRAIN_ROWS).collect()
+    rows = sampled(known, "h", TRAIN_ROWS)
     if not rows:
         return compiled(new_network([UNKNOWN], HIDDEN, np.random.default_rng(0)))
     return compiled(train([r.text for r in rows], [r.lang for r in rows]))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioq.llm._spark import map_arrow, map_texts, table
+from folioq.llm._spark import map_arrow, map_texts, sampled, table
 from folioq.llm._text import SPACE, slices, words
 
 #: Bound of the training sample, in documents with candidates.
@@ -264,7 +264,7 @@ def redact(text: str, spans: list) -> str:
 def fitted(docs: DataFrame) -> Weights:
     """Train on the TRAIN_ROWS documents with candidates of least hash."""
     known = docs.select(F.col("text").cast("string").alias("t")).where(F.col("t").rlike("[0-9@]")).withColumn("h", F.xxhash64("t"))
-    return fit([r.t for r in known.orderBy("h", "t").limit(TRAIN_ROWS).collect()])
+    return fit([r.t for r in sampled(known, "h", TRAIN_ROWS)])
 
 
 def found(docs: DataFrame) -> DataFrame:
