@@ -17,6 +17,7 @@ by their label in `text`, with `n_chars` (where it is an integer column) followi
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +33,7 @@ from folioq.llm._text import SPACE, slices, words
 #: Bound of the training sample, in documents with candidates.
 TRAIN_ROWS = 1000
 LABELS = ["O", "EMAIL", "PHONE", "IP", "CARD", "SECRET"]
-FEATURES = ["bias", "email", "long_number", "ip", "plus", "area", "local", "phone", "hex", "quoted", "after_equals", "after_key", "number", "plain", "assigned"]
+FEATURES = ["bias", "email", "long_number", "ip", "plus", "area", "local", "phone", "hex", "quoted", "after_equals", "after_key", "number", "plain", "assigned", "grouped"]
 _EMAIL, _PHONE, _IP, _CARD, _SECRET = range(1, 6)
 _KEYS = {b"token", b"key", b"secret", b"password", b"passwd", b"pwd", b"apikey", b"api_key", b"auth", b"bearer", b"access_token"}
 _MARKS = b".,;:!?%&$#*|\"'`<>[]{}"
@@ -49,6 +50,7 @@ _SHAPES = [
 _ASSIGNED = re.compile(rb"(?:token|key|secret|password|passwd|pwd|api_?key|auth)[\"']?[=:][\"']?[\w./+-]{8,}", re.I)
 _RUN = re.compile(rb"[A-Za-z\x80-\xff]+")
 _WHOLE = re.compile(rb"\d")
+_GROUP = re.compile(rb"\d{4}")
 
 
 @dataclass
@@ -126,6 +128,12 @@ def graph(texts: list) -> Graph:
                 if key in last:
                     skip.append((last[key], k))
                 last[key] = k
+    # Four groups of four digits are one number.
+    group = np.array([hot and _GROUP.fullmatch(t.strip(_MARKS)) is not None for t, hot in zip(tokens, opened.tolist(), strict=True)], bool)
+    edge = np.flatnonzero(np.diff(group, prepend=False, append=False) | np.r_[np.diff(near, prepend=-9) != 1, True] | np.r_[np.diff(w.doc[near], prepend=-1) != 0, True])
+    for a, b in itertools.pairwise(edge.tolist()):
+        if b - a >= 4 and group[a]:
+            x[a:b, FEATURES.index("grouped")], x[a:b, FEATURES.index("number")] = 1, 0
     chain = np.flatnonzero((np.diff(near) == 1) & (w.doc[near[1:]] == w.doc[near[:-1]])) if len(near) > 1 else np.zeros(0, np.int64)
     doc = np.array(with_cue, np.int64)[w.doc[near]] if len(near) else np.zeros(0, np.int64)
     base = w.offset[w.doc[near]] if len(near) else np.zeros(0, np.int64)
@@ -181,7 +189,7 @@ def pattern_labels(g: Graph) -> np.ndarray:
     f = {name: g.x[:, k] > 0 for k, name in enumerate(FEATURES)}
     gold = np.zeros(len(g.x), np.int64)
     gold[f["hex"] | (f["quoted"] & f["after_key"]) | f["assigned"]] = _SECRET
-    gold[f["long_number"]] = _CARD
+    gold[f["long_number"] | f["grouped"]] = _CARD
     gold[f["phone"]] = _PHONE
     gold[f["ip"]] = _IP
     gold[f["email"]] = _EMAIL
@@ -200,6 +208,7 @@ def start_weights() -> Weights:
     for label, shapes in ((_EMAIL, (1,)), (_PHONE, (5, 6, 7)), (_IP, (3,)), (_CARD, (2,)), (_SECRET, (8, 14)), (0, (0, 12, 13))):
         w.unary[label, list(shapes)] = 3
     w.unary[_PHONE, 6] = w.unary[_PHONE, 5] = 1
+    w.unary[_CARD, FEATURES.index("grouped")] = 12  # so rare that a sample may have none
     w.change[_PHONE, _PHONE] = 3
     return w
 
@@ -215,7 +224,7 @@ def fit(texts: list, steps: int = 60, drop: float = 0.15, seed: int = 5) -> Weig
     for k in range(steps):
         x = g.x.copy()
         x[:, 1:12] *= rng.random((len(x), 1)) >= drop
-        x[:, 14:] *= rng.random((len(x), 1)) >= drop
+        x[:, 14:15] *= rng.random((len(x), 1)) >= drop
         node, pair = propagate(g, w, x, rounds=6)
         pair = np.exp(pair)
         rate = 2.0 / (1 + k / 20)
@@ -231,7 +240,7 @@ def fit(texts: list, steps: int = 60, drop: float = 0.15, seed: int = 5) -> Weig
 
 
 def entities(texts: list, w: Weights) -> list[list[tuple[str, int, int]]]:
-    """(label, first byte, end byte) of each entity of each text; adjacent words of a phone number are one entity."""
+    """(label, first byte, end byte) of each entity of each text; adjacent words of a phone number, or groups of a card's, are one entity."""
     found: list[list] = [[] for _ in texts]
     g = graph(texts)
     if not len(g.x):
@@ -246,7 +255,7 @@ def entities(texts: list, w: Weights) -> list[list[tuple[str, int, int]]]:
         a += len(token) - len(token.lstrip(_MARKS))
         b -= len(token) - len(token.rstrip(_MARKS))
         name = LABELS[label[k]]
-        if name == "PHONE" and found[d] and found[d][-1][0] == name and k and label[k - 1] == label[k] and g.doc[k - 1] == d and found[d][-1][2] >= int(g.end[k - 1]) - 3 and SPACE[list(raw[d][found[d][-1][2] : a])].all():
+        if (name == "PHONE" or (name == "CARD" and g.x[k, -1])) and found[d] and found[d][-1][0] == name and k and label[k - 1] == label[k] and g.doc[k - 1] == d and found[d][-1][2] >= int(g.end[k - 1]) - 3 and SPACE[list(raw[d][found[d][-1][2] : a])].all():
             found[d][-1] = (name, found[d][-1][1], b)
         elif b > a:
             found[d].append((name, a, b))
