@@ -18,6 +18,7 @@ equals. Extra columns are ignored by the report and kept by the filter; an empty
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,9 +85,9 @@ def find(index: Index, texts: list) -> tuple[np.ndarray, np.ndarray, list]:
     d, item, diagonal, g = d[order], item[order], diagonal[order], h[src][order]
     new = np.ones(len(d), bool)
     new[1:] = (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > SLACK)
-    first = np.flatnonzero(new)
+    bounds = np.r_[np.flatnonzero(new), len(d)].tolist()
     found = []
-    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(d)], strict=True):
+    for a, b in itertools.pairwise(bounds):
         if b - a < HITS or len(hits := np.unique(g[a:b])) < HITS:
             continue
         x = int(d[a])
