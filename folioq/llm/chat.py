@@ -1,8 +1,8 @@
 """Chat formatting with a grammar round trip (operator 9).
 
 Each conversation is rendered as `<|im_start|>role NEWLINE text<|im_end|> NEWLINE` a turn. The rendering is parsed again
-by a deterministic parser: split at the start mark, take the role up to the first line end, drop the end mark, undo
-escapes. Where the turns recovered differ from the source, content is escaped: a backslash more goes between `<` and `|`,
+by a deterministic parser: split at the start mark, take the role up to the first line end, the text up to the first end
+mark, which must close the turn, and undo escapes. Where the turns recovered differ from the source, content is escaped: a backslash more goes between `<` and `|`,
 in a role also for backslash and line end. One round of escapes always suffices, as undoing it is its exact inverse.
 
 Defined results: a null role or text counts as empty. Turns are ordered by turn, then role and text; repeated rows are
@@ -43,12 +43,14 @@ def render(turns: Column, escaped: bool) -> Column:
 
 
 def parse(rendered: Column) -> Column:
-    """The array of (role, text) that a rendering stands for. A turn without its end mark keeps its text whole."""
+    """The array of (role, text) that a rendering stands for. A turn that goes on after an end mark, or has none, is no turn
+    of the grammar; its text is taken with the marks, so that it differs from any source."""
 
     def turn(part: Column) -> Column:
         line = F.instr(part, "\n")
         body = F.substr(part, line + 1)
-        body = F.when(F.endswith(body, F.lit(END)), F.left(body, F.length(body) - len(END))).otherwise(body)
+        at = F.instr(body, END[:-1])
+        body = F.when((at > 0) & (F.substr(body, at) == END), F.left(body, at - 1)).otherwise(body)
         return F.struct(_unescape_role(F.left(part, F.greatest(line - 1, F.lit(0)))).alias("role"), _unescape(body).alias("text"))
 
     parts = F.split(rendered, r"<\|im_start\|>")
@@ -73,7 +75,8 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PARSED = r"""
   list_transform(string_split({0}, '<|im_start|>')[2:], lambda p: struct_pack(
     role := replace(replace(regexp_replace(CASE WHEN instr(p, chr(10)) > 0 THEN left(p, instr(p, chr(10)) - 1) ELSE '' END, '<(\\*)\\\|', '<\1|', 'g'), '\n', chr(10)), '\b', '\'),
-    text := regexp_replace(CASE WHEN ends_with(substr(p, instr(p, chr(10)) + 1), '<|im_end|>' || chr(10)) THEN left(substr(p, instr(p, chr(10)) + 1), length(substr(p, instr(p, chr(10)) + 1)) - 11) ELSE substr(p, instr(p, chr(10)) + 1) END, '<(\\*)\\\|', '<\1|', 'g')))"""
+    text := regexp_replace(CASE WHEN instr(substr(p, instr(p, chr(10)) + 1), '<|im_end|>') = length(substr(p, instr(p, chr(10)) + 1)) - 10 AND ends_with(p, '<|im_end|>' || chr(10))
+      THEN left(substr(p, instr(p, chr(10)) + 1), length(substr(p, instr(p, chr(10)) + 1)) - 11) ELSE substr(p, instr(p, chr(10)) + 1) END, '<(\\*)\\\|', '<\1|', 'g')))"""
 
 SQL = rf"""
 WITH source AS (
