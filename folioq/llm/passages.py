@@ -301,11 +301,12 @@ def repeats(docs: DataFrame, large: int = LARGE) -> DataFrame:
     """(doc_id, start, end): maximal runs of words covered by passages that occur in several documents too."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").withColumn("row", _row_id())
-    by_anchor = Window.partitionBy("anchor")
-    seen = _anchored(docs).withColumn("a", F.min("row").over(by_anchor)).withColumn("b", F.max("row").over(by_anchor))
-    shared = stash(seen.where("a < b").drop("a", "b"), "anchors")
+    # Grouped with partial sums and joined, never windowed: an anchor in many documents is spread over tasks.
+    several = _anchored(docs).groupBy("anchor").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("anchor")
+    shared = stash(_anchored(docs).join(several, "anchor", "left_semi"), "anchors")
     one = shared.groupBy("anchor", "segment").agg(F.min("row").alias("least"), F.max("row").alias("greatest"), F.min(F.struct("row", "place")).alias("r"))
-    one = one.withColumn("large", F.count(F.lit(1)).over(by_anchor) > large)
+    crowded = one.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large).select("anchor", F.lit(True).alias("large"))
+    one = one.join(crowded, "anchor", "left").withColumn("large", F.coalesce("large", F.lit(False)))
     wanted = one.groupBy(F.col("r.row").alias("row")).agg(F.collect_list(F.struct(F.col("r.place").alias("place"), "anchor", "segment", "least", "greatest", "large")).alias("wanted"))
     segments = stash(_worded(docs.join(wanted, "row").select("text", "wanted")), "segments")
     parts = _sorted_out(segments.where("NOT large"), shared_dir(spark)).union(_grouped_out(segments.where("large")))
