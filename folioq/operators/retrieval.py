@@ -5,6 +5,10 @@ Ties always end in an id. Queries are the side that may travel to the executors,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,7 +36,36 @@ def top(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str
 
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 12) -> DataFrame:
-    """(query_id, id, score, rank) by cosine of queries (query_id, qvec) and corpus (id, vec), the query's own id left out."""
+    """(query_id, id, score, rank) by cosine of queries (query_id, qvec) and corpus (id, vec), the query's own id left out.
+
+    Up to SMALL_ROWS queries of one length travel to the tasks as a matrix, and each batch of the corpus gives its own first k
+    of every query; more queries, or vectors of several lengths, are met by a join."""
+    shapes = queries.limit(SMALL_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.size("qvec")).alias("sizes"), F.count("qvec").alias("known")).first()
+    if not 0 < shapes.n <= SMALL_ROWS or shapes.sizes != 1 or shapes.known != shapes.n:
+        return _joined_topk(queries, corpus, k)
+    rows = queries.select("query_id", "qvec").collect()
+    ids, matrix = np.array([r.query_id for r in rows], np.int64), np.array([r.qvec for r in rows], float)
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+    matrix = matrix / np.where(norms > 0, norms, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(at, 1000) for at in range(0, batch.num_rows, 1000)):
+                found, vectors = part.column(0).to_numpy(), [v if v is not None and len(v) == matrix.shape[1] else None for v in part.column(1).to_pylist()]
+                other = np.array([np.zeros(matrix.shape[1]) if v is None else v for v in vectors], float)
+                size = np.linalg.norm(other, axis=1, keepdims=True)
+                score = np.round(matrix @ (other / np.where(size > 0, size, 1)).T, 6) + 0.0
+                score[ids[:, None] == found] = -np.inf
+                # All that reach the k-th score stay, so that ties are settled by id afterwards.
+                bound = np.partition(score, -k, axis=1)[:, -k][:, None] if len(found) > k else -np.inf
+                q, c = np.nonzero((score >= bound) & (score > -np.inf))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(found[c]), pa.array(score[q, c])], ["query_id", "id", "score"])
+
+    hits = corpus.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, "query_id long, id long, score double")
+    return top(hits, ["query_id"], [F.desc("score"), F.asc("id")], k)
+
+
+def _joined_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     queries = queries.select("query_id", "qvec", norm(F.col("qvec")).alias("qnorm"))
     corpus = corpus.select("id", "vec", norm(F.col("vec")).alias("norm"))
