@@ -1,8 +1,10 @@
 """Benchmark decontamination by seeded local alignment (operator 3).
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased. One scan over the documents looks up every
-n-gram of every text among those of the test items; where at least `HITS` different ones lie near one diagonal of
-(document, item), the passage around them is a candidate. The same scan counts in how many documents each n-gram occurs.
+n-gram of every text among those of the test items; hits of one item that one alignment of `SCORE` can hold are joined,
+and where at least `HITS` different ones are, the passage around them is a candidate. An alignment pays for each inserted
+word, so it is no longer than `reach` words; a passage that has too few of the item's words in any `reach` words is left
+out, which loses nothing. The same scan counts in how many documents each n-gram occurs.
 The candidates are then joined with the seeds, the rarest share `RARE` of each item's n-grams, and those with `HITS` seeds
 or more are aligned with their items (Smith-Waterman, linear gaps). The score is a share of the item's alignment with
 itself; passages from `SCORE` on are reported.
@@ -33,10 +35,10 @@ from folioq.llm._text import SPACE, Words, grams, slices, words
 GRAM = 3
 HITS = 2
 RARE = 0.75
-SLACK = 8
 SCORE = 0.5
 LEAST = 8
 PART = 2_000_000
+CELLS = 1 << 18
 _MATCH, _MISS, _GAP = 2, -1, 1
 
 _APART = SPACE.copy()
@@ -62,6 +64,11 @@ class Index:
         self.maybe[self.known & np.uint64((1 << 20) - 1)] = True
 
 
+def reach(size: int) -> int:
+    """The most words of text that an alignment of SCORE with an item of `size` words spans."""
+    return size + int((1 - SCORE) * _MATCH * size / _GAP)
+
+
 def find(index: Index, texts: list) -> tuple[np.ndarray, np.ndarray, list]:
     """N-grams of the index and in how many of the texts each occurs; candidate passages (text, item, first word, hashes
     of the passage's words, hashes of the n-grams hit)."""
@@ -79,48 +86,75 @@ def find(index: Index, texts: list) -> tuple[np.ndarray, np.ndarray, list]:
     src = np.repeat(np.arange(len(h)), n)
     row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[src]
     d, item = doc[src], index.item[row]
-    start = at[src] - w.first[d]
-    diagonal = start - index.place[row]
-    order = np.lexsort((h[src], diagonal, item, d))
-    d, item, diagonal, g = d[order], item[order], diagonal[order], h[src][order]
+    start, g = at[src] - w.first[d], h[src]
+    order = np.lexsort((g, start, item, d))
+    d, item, start, g = d[order], item[order], start[order], g[order]
+    far = np.array([reach(int(n)) for n in index.size], np.int64)
     new = np.ones(len(d), bool)
-    new[1:] = (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > SLACK)
+    new[1:] = (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > far[item[1:]])
     bounds = np.r_[np.flatnonzero(new), len(d)].tolist()
     found = []
     for a, b in itertools.pairwise(bounds):
         if b - a < HITS or len(hits := np.unique(g[a:b])) < HITS:
             continue
-        x = int(d[a])
-        size = int(w.first[x + 1] - w.first[x])
-        left = max(0, int(diagonal[a]) - SLACK)
-        right = min(size, int(diagonal[b - 1]) + int(index.size[item[a]]) + SLACK)
-        found.append((x, int(item[a]), left, w.hash[w.first[x] + left : w.first[x] + right], hits))
+        x, k = int(d[a]), int(item[a])
+        size, span = int(w.first[x + 1] - w.first[x]), int(far[k])
+        left, right = max(0, int(start[a]) - span), min(size, int(start[b - 1]) + span)
+        passage = w.hash[w.first[x] + left : w.first[x] + right]
+        same = np.r_[0, np.cumsum(np.isin(passage, index.items[k]))]
+        begin = np.arange(max(1, len(passage) - span + 1))
+        full = np.flatnonzero(same[np.minimum(begin + span, len(passage))] - same[begin] >= SCORE * index.size[k])
+        if len(full):
+            found.append((x, k, left + int(full[0]), passage[full[0] : full[-1] + span], hits))
     return gram, count, found
 
 
-def align(items: list, passages: list) -> tuple[np.ndarray, np.ndarray]:
-    """Best local alignment score of each pair as a share of the item's own, and the passage's word where it ends."""
+def aligned(items: list, passages: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best local alignment score of each pair as a share of the item's own, and the passage's words where it starts and
+    ends. A cell is the score, and below it the start: of equal scores the later start counts."""
     rows, cols = max(map(len, items)), max(map(len, passages))
     a, b = np.zeros((len(items), rows), np.uint64), np.zeros((len(items), cols), np.uint64)
     inside = np.zeros((len(items), cols), bool)
     size = np.array([len(x) for x in items])
     for k, (x, y) in enumerate(zip(items, passages, strict=True)):
         a[k, : len(x)], b[k, : len(y)], inside[k, : len(y)] = x, y, True
-    ramp = np.arange(1, cols + 1, dtype=np.int32) * _GAP
-    last = np.zeros((len(items), cols), np.int32)
-    best, end = np.zeros(len(items), np.int32), np.zeros(len(items), np.int64)
+    match, miss, gap = (np.int64(v << 32) for v in (_MATCH, _MISS, _GAP))
+    here = np.arange(cols, dtype=np.int64)
+    ramp = here * gap
+    last = np.broadcast_to(here + 1, (len(items), cols)).copy()  # score 0: an alignment starts at the next word
+    best, start, end = (np.zeros(len(items), np.int64) for _ in range(3))
     for i in range(rows):
-        now = np.where((a[:, i : i + 1] == b) & inside, np.int32(_MATCH), np.int32(_MISS))
+        now = np.where((a[:, i : i + 1] == b) & inside, match, miss)
         now[:, 1:] += last[:, :-1]
-        now = np.maximum(np.maximum(now, last - np.int32(_GAP)), 0)
+        now = np.maximum(np.maximum(now, last - gap), here + 1)
         now = np.maximum.accumulate(now + ramp, axis=1) - ramp
-        now[i >= size] = 0
-        last = now.astype(np.int32)
-        top = last.argmax(1)
-        score = last[np.arange(len(items)), top]
-        end = np.where(score > best, top, end)
-        best = np.maximum(best, score)
-    return best / (_MATCH * size), end
+        now[i >= size] = here + 1
+        last = now
+        score = last >> 32
+        top = score.argmax(1)
+        at = np.arange(len(items)), top
+        more = score[at] > best
+        start, end = np.where(more, last[at] & 0xFFFFFFFF, start), np.where(more, top, end)
+        best = np.where(more, score[at], best)
+    return best / (_MATCH * size), start, end
+
+
+def align(items: list, passages: list) -> tuple[np.ndarray, np.ndarray]:
+    """Best local alignment score of each pair as a share of the item's own, and the passage's word where it ends."""
+    value, _, end = aligned(items, passages)
+    return value, end
+
+
+def lots(lengths: list) -> Iterator[np.ndarray]:
+    """Numbers of the passages by length, in lots of up to 256 and of bounded size when padded to the longest."""
+    lot: list = []
+    for k in np.argsort(lengths, kind="stable").tolist():
+        if lot and (len(lot) == 256 or (len(lot) + 1) * lengths[k] > CELLS):
+            yield np.array(lot)
+            lot = []
+        lot.append(k)
+    if lot:
+        yield np.array(lot)
 
 
 def candidates(docs: DataFrame, index: Index, names: list) -> DataFrame:
@@ -186,15 +220,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 who, item, start = (batch.column(k) for k in (0, 1, 2))
                 texts = [np.asarray(p, np.int64).view(np.uint64) for p in batch.column(3).to_pylist()]
                 tests = [items[i] for i in item.to_pylist()]
-                order = np.argsort([len(t) for t in texts], kind="stable")
-                value, end = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-                for lot in np.array_split(order, max(1, len(order) // 256)):
-                    if len(lot):
-                        value[lot], end[lot] = align([tests[k] for k in lot], [texts[k] for k in lot])
-                yield pa.RecordBatch.from_arrays([who, item, pa.array(value), start, pa.array(start.to_numpy() + end + 1)], ["doc_id", "item_id", "score", "start", "end"])
-
-        aligned = map_arrow(chosen.select("doc_id", "item_id", "start", "passage"), score, columns).where(F.col("score") >= SCORE)
-        found = aligned if found is None else found.union(aligned)
+                value, first, end = np.zeros(len(texts)), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+                for lot in lots([len(t) for t in texts]):
+                    value[lot], first[lot], end[lot] = aligned([tests[k] for k in lot], [texts[k] for k in lot])
+                begin = start.to_numpy()
+                yield pa.RecordBatch.from_arrays([who, item, pa.array(value), pa.array(begin + first), pa.array(begin + end + 1)], ["doc_id", "item_id", "score", "start", "end"])
+
+        scored = map_arrow(chosen.select("doc_id", "item_id", "start", "passage"), score, columns).where(F.col("score") >= SCORE)
+        found = scored if found is None else found.union(scored)
     best = F.max_by(F.struct("score", "start", "end"), F.struct("score", -F.col("start"), -F.col("end")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.score", "b.start", "b.end")
 

@@ -89,3 +89,19 @@ def test_empty(spark):
     docs, bench = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert D.contaminated(docs, bench).collect() == [] and D.drop_contaminated(docs, bench).count() == 1
     assert D.contaminated(docs.limit(0), spark.createDataFrame(fixture()[1], "item_id long, text string")).collect() == []
+
+
+def test_copies_with_a_long_insertion(spark):
+    rng = np.random.default_rng(3)
+    word = lambda k: [f"w{x}" for x in rng.integers(0, 3000, k)]
+    items = [(k, " ".join(word(40))) for k in range(3)]
+    rows = []
+    for d, inserted in enumerate((20, 25, 30, 60)):
+        copy = items[d % 3][1].split()
+        copy[8] = copy[30] = "edited"
+        rows.append((d, " ".join(word(70) + copy[:20] + word(inserted) + copy[20:] + word(70))))
+    assert brute(rows, items) == {(0, 0), (1, 1), (2, 2)}
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (round(r.score, 3), r.start, r.end) for r in D.contaminated(docs, bench).collect()}
+    assert found == {(0, 0): (0.675, 70, 130), (1, 1): (0.613, 70, 135), (2, 2): (0.55, 70, 140)}
+    assert [r.doc_id for r in D.drop_contaminated(docs, bench).collect()] == [3]
