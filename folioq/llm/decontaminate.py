@@ -12,8 +12,10 @@ itself; passages from `SCORE` on are reported.
 Rarity is relative to the item, so an item that leaked into thousands of documents keeps its seeds. The index of the
 items is sent to the tasks in parts of at most `PART` n-grams, one scan a part, so its size is bounded.
 
-Defined results: null and short items (under `LEAST` words) are ignored, as they would match anywhere. Null and empty
-texts have no passage. Rows with a null doc_id are not reported and are kept by the filter; of rows that repeat a doc_id
+Items of fewer than `LEAST` words are too short for n-gram seeds and are searched whole: a text that has all their words
+in a row holds them, with score 1; edited copies of them are not searched for.
+
+Defined results: null items and items without words are ignored. Null and empty texts have no passage. Rows with a null doc_id are not reported and are kept by the filter; of rows that repeat a doc_id
 each is searched. Repeated item rows count once. Of an item's passages in a document the best is reported, the first of
 equals. Extra columns are ignored by the report and kept by the filter; an empty table gives an empty result.
 """
@@ -50,11 +52,21 @@ def _words(texts: list) -> Words:
 
 
 class Index:
-    """The n-grams of some test items: sorted hashes, each with its item's number and place."""
+    """The n-grams of some test items: sorted hashes, each with its item's number and place. Of items under LEAST words
+    instead, by their number of words: sorted hashes of all the words, and the items' numbers."""
 
     def __init__(self, texts: list):
         w = _words(texts)
+        length = np.diff(w.first)
+        self.short = {}
+        for n in np.unique(length[(length > 0) & (length < LEAST)]).tolist():
+            h, at = grams(w, n)
+            whole = length[w.doc[at]] == n
+            order = np.argsort(h[whole], kind="stable")
+            self.short[n] = h[whole][order], w.doc[at][whole][order]
         h, at = grams(w, GRAM)
+        long = length[w.doc[at]] >= LEAST
+        h, at = h[long], at[long]
         order = np.argsort(h, kind="stable")
         self.gram, self.item, self.place = h[order], w.doc[at][order], (at - w.first[w.doc[at]])[order]
         self.items = [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
@@ -69,9 +81,9 @@ def reach(size: int) -> int:
     return size + int((1 - SCORE) * _MATCH * size / _GAP)
 
 
-def find(index: Index, texts: list) -> tuple[np.ndarray, np.ndarray, list]:
+def find(index: Index, texts: list) -> tuple[np.ndarray, np.ndarray, list, list]:
     """N-grams of the index and in how many of the texts each occurs; candidate passages (text, item, first word, hashes
-    of the passage's words, hashes of the n-grams hit)."""
+    of the passage's words, hashes of the n-grams hit); copies of short items (text, item, first word, words)."""
     w = _words(texts)
     h, at = grams(w, GRAM)
     hit = np.flatnonzero(index.maybe[h & np.uint64((1 << 20) - 1)])
@@ -106,7 +118,7 @@ def find(index: Index, texts: list) -> tuple[np.ndarray, np.ndarray, list]:
         full = np.flatnonzero(same[np.minimum(begin + span, len(passage))] - same[begin] >= SCORE * index.size[k])
         if len(full):
             found.append((x, k, left + int(full[0]), passage[full[0] : full[-1] + span], hits))
-    return gram, count, found
+    return gram, count, found, verbatim(index, w)
 
 
 def aligned(items: list, passages: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,24 +169,39 @@ def lots(lengths: list) -> Iterator[np.ndarray]:
         yield np.array(lot)
 
 
+def verbatim(index: Index, w: Words) -> list:
+    """(text, item, first word, words) of the first verbatim copy of each short item in each text."""
+    found: dict = {}
+    for n, (known, item) in index.short.items():
+        h, at = grams(w, n)
+        lo, hi = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
+        for k in np.flatnonzero(hi > lo).tolist():
+            x = int(w.doc[at[k]])
+            for i in item[lo[k] : hi[k]].tolist():
+                found.setdefault((x, i), (x, i, int(at[k] - w.first[x]), n))
+    return list(found.values())
+
+
 def candidates(docs: DataFrame, index: Index, names: list) -> DataFrame:
-    """Rows of two kinds from one scan: (gram, n) counts, and passages with all other columns."""
+    """Rows of three kinds from one scan: (gram, n) counts, passages with all other columns, and copies of short items,
+    n words from start on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for part in slices(np.array([len(t or "") for t in texts], np.int64), 2 << 20):
-                gram, count, found = find(index, texts[part])
-                none, none_too = [None] * len(gram), [None] * len(found)
+                gram, count, found, copies = find(index, texts[part])
+                none, none_too, none_either = [None] * len(gram), [None] * len(found), [None] * len(copies)
+                both = found + copies
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([*gram.view(np.int64).tolist(), *none_too], pa.int64()),
-                        pa.array([*count.tolist(), *none_too], pa.int64()),
-                        pa.array([*none, *(ids[part.start + f[0]].as_py() for f in found)], pa.int64()),
-                        pa.array([*none, *(names[f[1]] for f in found)], pa.int64()),
-                        pa.array([*none, *(f[2] for f in found)], pa.int64()),
-                        pa.array([*none, *(f[3].view(np.int64) for f in found)], pa.list_(pa.int64())),
-                        pa.array([*none, *(f[4].view(np.int64) for f in found)], pa.list_(pa.int64())),
+                        pa.array([*gram.view(np.int64).tolist(), *none_too, *none_either], pa.int64()),
+                        pa.array([*count.tolist(), *none_too, *(c[3] for c in copies)], pa.int64()),
+                        pa.array([*none, *(ids[part.start + f[0]].as_py() for f in both)], pa.int64()),
+                        pa.array([*none, *(names[f[1]] for f in both)], pa.int64()),
+                        pa.array([*none, *(f[2] for f in both)], pa.int64()),
+                        pa.array([*none, *(f[3].view(np.int64) for f in found), *none_either], pa.list_(pa.int64())),
+                        pa.array([*none, *(f[4].view(np.int64) for f in found), *none_either], pa.list_(pa.int64())),
                     ],
                     ["gram", "n", "doc_id", "item_id", "start", "passage", "hits"],
                 )
@@ -191,7 +218,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     parts, part, held = [], [], 0
     for r in rows.orderBy("i", "t").toLocalIterator():
         size = len(_words([r.t]).hash)
-        if size < LEAST:
+        if not size:
             continue
         if held + size > PART:
             parts, part, held = [*parts, part], [], 0
@@ -209,11 +236,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         by_item = Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "gram")
         order = F.row_number().over(by_item) / F.count(F.lit(1)).over(Window.partitionBy("item_id"))
         seeds = own.join(counts, "gram", "left").withColumn("order", order).where(F.col("order") <= RARE).select("gram", "item_id")
-        passages = scan.where("gram IS NULL").select("doc_id", "item_id", "start", "passage", "hits")
+        passages = scan.where("passage IS NOT NULL").select("doc_id", "item_id", "start", "passage", "hits")
         hit = passages.select("doc_id", "item_id", "start", F.size("passage").alias("size"), F.explode("hits").alias("gram")).join(seeds, ["gram", "item_id"])
         enough = hit.groupBy("doc_id", "item_id", "start", "size").agg(F.count_distinct("gram").alias("seeds")).where(F.col("seeds") >= HITS)
         chosen = passages.withColumn("size", F.size("passage")).join(enough.drop("seeds"), ["doc_id", "item_id", "start", "size"], "left_semi")
-        items = dict(zip(names, index.items, strict=True))
+        items = {i: x for i, x in zip(names, index.items, strict=True) if len(x) >= LEAST}
 
         def score(batches: Iterator[pa.RecordBatch], items: dict = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -227,6 +254,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([who, item, pa.array(value), pa.array(begin + first), pa.array(begin + end + 1)], ["doc_id", "item_id", "score", "start", "end"])
 
         scored = map_arrow(chosen.select("doc_id", "item_id", "start", "passage"), score, columns).where(F.col("score") >= SCORE)
+        copies = scan.where("gram IS NULL AND passage IS NULL").select("doc_id", "item_id", F.lit(1.0).alias("score"), "start", (F.col("start") + F.col("n")).alias("end"))
+        scored = scored.union(copies)
         found = scored if found is None else found.union(scored)
     best = F.max_by(F.struct("score", "start", "end"), F.struct("score", -F.col("start"), -F.col("end")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.score", "b.start", "b.end")

@@ -105,3 +105,14 @@ def test_copies_with_a_long_insertion(spark):
     found = {(r.doc_id, r.item_id): (round(r.score, 3), r.start, r.end) for r in D.contaminated(docs, bench).collect()}
     assert found == {(0, 0): (0.675, 70, 130), (1, 1): (0.613, 70, 135), (2, 2): (0.55, 70, 140)}
     assert [r.doc_id for r in D.drop_contaminated(docs, bench).collect()] == [3]
+
+
+def test_short_items_are_found_word_for_word(spark):
+    rng = np.random.default_rng(4)
+    items = [(0, "What is the capital?"), (1, "Who wrote the play of two brothers?"), (2, "Name it"), (3, "?!"), (4, "eight words make one item of usual size"), (5, "what is the capital")]
+    noise = lambda k: " ".join(f"w{x}" for x in rng.integers(0, 3000, k))
+    rows = [(0, f"{noise(20)} what is THE capital {noise(5)}"), (1, f"Who wrote the play of two brothers? {noise(9)}"), (2, "name, it"), (3, f"what is a capital {noise(9)} name of it"), (4, "what is the"), (5, noise(40)), (6, None), (7, "?!")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(tuple, D.contaminated(docs, bench).collect()))
+    assert got == [(0, 0, 1.0, 20, 24), (0, 5, 1.0, 20, 24), (1, 1, 1.0, 0, 7), (2, 2, 1.0, 0, 2)]
+    assert sorted(r.doc_id for r in D.drop_contaminated(docs, bench).collect()) == [3, 4, 5, 6, 7]
