@@ -6,6 +6,9 @@ Adjacent nodes share a transition potential; candidates that repeat in a documen
 digits, letters and marks), share a skip potential with the next such candidate, at any distance. Loopy sum-product
 message passing gives each node's marginals, so that a token that is clear in one place decides the unclear ones.
 
+A candidate that only holds a shape, between brackets, labels or other marks, is split around it, so that the entity is a
+node of its own.
+
 The weights are trained here by gradient ascent, with expectations from the same message passing, on a bounded sample of
 documents labelled by high-precision patterns; features are dropped at random in training, which makes the field learn
 to rely on neighbours and on repetitions.
@@ -20,7 +23,7 @@ from __future__ import annotations
 import itertools
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioq.llm._spark import map_arrow, map_texts, sampled, table
-from folioq.llm._text import SPACE, slices, words
+from folioq.llm._text import SPACE, Words, slices, words
 
 #: Bound of the training sample, in documents with candidates.
 TRAIN_ROWS = 1000
@@ -44,10 +47,14 @@ _SHAPES = [
     (4, re.compile(rb"\+\d{1,3}")),
     (5, re.compile(rb"\(\d{2,5}\)")),
     (6, re.compile(rb"\d{3}[-.]\d{4}")),
-    (7, re.compile(rb"(?:\+?\d{1,3}[-.]?)?\(?\d{3}\)?[-.]\d{3}[-.]\d{4}|\+\d{10,14}")),
+    (7, re.compile(rb"(?:\+?\d{1,3}[-.]?)?(?:\(?\d{3}\)?[-.]\d{3}[-.]|\(\d{3}\)\d{3}[-.]?)\d{4}|\+\d{10,14}")),
     (8, re.compile(rb"(?=[a-f]*\d)(?:[0-9a-f]{24,}|[0-9A-F]{24,})")),
 ]
 _ASSIGNED = re.compile(rb"(?:token|key|secret|password|passwd|pwd|api_?key|auth)[\"']?[=:][\"']?[\w./+-]{8,}", re.I)
+#: A shape inside a word: marks, brackets or the word's ends on both sides, a full stop only where a sentence may end.
+_EDGE = rb"()=/~,;:!?%&$#*|\"'`<>\[\]{}"
+_INNER = re.compile(rb"(?<![^" + _EDGE + rb"])(?:" + b"|".join(b"(?:" + p + b")" for p in (_ASSIGNED.pattern.replace(b"(?:token", b"(?i:token"), *(_SHAPES[k - 1][1].pattern for k in (1, 3, 7, 2, 8, 5, 6, 4)))) + rb")(?=\.*(?:[" + _EDGE + rb"]|$))")
+_OUTER = b"()=/~:"
 _RUN = re.compile(rb"[A-Za-z\x80-\xff]+")
 _WHOLE = re.compile(rb"\d")
 _GROUP = re.compile(rb"\d{4}")
@@ -87,6 +94,46 @@ def _features(token: bytes, before: bytes, before_that: bytes, cue: bool) -> lis
     return found
 
 
+def _pieces(token: bytes) -> list[int]:
+    """Where to split a candidate so that a shape in it stands alone; else brackets and the like are split off its ends."""
+    core = token.strip(_MARKS)
+    if core.isalnum() or _ASSIGNED.fullmatch(core) or any(shape.fullmatch(core) for _, shape in _SHAPES):
+        return []
+    cuts = {at for m in _INNER.finditer(token) for at in m.span()}
+    if not cuts:
+        cuts = {len(token) - len(token.lstrip(_OUTER + _MARKS)), len(token.rstrip(_OUTER + _MARKS))} if core.strip(_OUTER) != core else set()
+    return sorted(cuts - {0, len(token)})
+
+
+def _split(w: Words, cue: np.ndarray) -> Words:
+    """The words with those candidates split that hold a shape."""
+    data = w.data.tobytes()
+    cuts = [(k, a + at) for k, a, b in zip(cue.tolist(), w.start[cue].tolist(), w.end[cue].tolist(), strict=True) for at in _pieces(data[a:b])]
+    if not cuts:
+        return w
+    word, at = np.array(cuts, np.int64).T
+    start, end = np.sort(np.concatenate([w.start, at])), np.sort(np.concatenate([w.end, at]))
+    return replace(w, start=start, end=end, doc=np.sort(np.concatenate([w.doc, w.doc[word]])))
+
+
+def _phone_groups(tokens: list, follows: list) -> list[int]:
+    """Tokens that write a phone number in groups of 3, 3 and 4 digits, the first perhaps in brackets, and maybe a 1 before."""
+    found: list = []
+    digits = [t.strip(_MARKS).isdigit() for t in tokens]
+    k = 0
+    while k < len(tokens):
+        end = k + 1
+        while digits[k] and end < len(tokens) and follows[end] and digits[end] and tokens[end - 1][-1:].isdigit() and tokens[end][:1].isdigit():
+            end += 1
+        size = [len(t.strip(_MARKS)) for t in tokens[k:end]]
+        if digits[k] and (size == [3, 3, 4] or (size == [1, 3, 3, 4] and tokens[k].strip(_MARKS) == b"1")):
+            found += range(k, end)
+        elif digits[k] and size == [3, 4] and k and follows[k] and re.fullmatch(rb"\(\d{3}\)", tokens[k - 1]):
+            found += range(k - 1, end)
+        k = end
+    return found
+
+
 def _cued(texts: list) -> list[int]:
     return [i for i, t in enumerate(texts) if t and ("@" in t or _DIGIT.search(t))]
 
@@ -99,6 +146,7 @@ def graph(texts: list) -> Graph:
     with_cue = _cued(texts)
     w = words([texts[i] for i in with_cue], lower=False, hashed=False)
     cue_byte = np.flatnonzero(((w.data >= 48) & (w.data < 58)) | (w.data == 64))
+    w = _split(w, np.unique(np.searchsorted(w.start, cue_byte, "right") - 1))
     cue = np.unique(np.searchsorted(w.start, cue_byte, "right") - 1)
     near = np.unique((cue[:, None] + np.arange(-2, 3)).ravel())
     near = near[(near >= 0) & (near < len(w.start))]
@@ -134,6 +182,10 @@ def graph(texts: list) -> Graph:
     for a, b in itertools.pairwise(edge.tolist()):
         if b - a >= 4 and group[a]:
             x[a:b, FEATURES.index("grouped")], x[a:b, FEATURES.index("number")] = 1, 0
+    follows = np.r_[False, (np.diff(near) == 1) & (np.diff(w.doc[near]) == 0)].tolist() if len(near) else []
+    grouped = _phone_groups(tokens, follows)
+    x[grouped, FEATURES.index("phone")] = 1
+    x[np.ix_(grouped, [FEATURES.index("number"), FEATURES.index("area")])] = 0
     chain = np.flatnonzero((np.diff(near) == 1) & (w.doc[near[1:]] == w.doc[near[:-1]])) if len(near) > 1 else np.zeros(0, np.int64)
     doc = np.array(with_cue, np.int64)[w.doc[near]] if len(near) else np.zeros(0, np.int64)
     base = w.offset[w.doc[near]] if len(near) else np.zeros(0, np.int64)

@@ -162,3 +162,20 @@ def test_spans_point_at_the_bytes():
     text = "é ü mail ann@b.org, (202) 555-0143 end"
     raw = text.encode()
     assert [(n, raw[a:b].decode()) for n, a, b in pii.entities([text], w)[0]] == [("EMAIL", "ann@b.org"), ("PHONE", "(202) 555-0143")]
+
+
+def test_private_data_in_brackets_and_after_labels():
+    w = pii.fit([f"write to a{k}@b.org or call (202) 555-01{k} or +1-202-555-01{k} now, host 10.0.0.{k}, card 4111 1111 1111 11{k} or 41111111111111{k}, {k} of 100" for k in range(10, 60)])
+    mail, ip, card = ("EMAIL", "ann@b.org"), ("IP", "10.0.0.1"), ("CARD", "4111 1111 1111 1111")
+    cases = {
+        "see (ann@b.org) there": [mail], "see mailto:ann@b.org. Then": [mail], "Email:ann@b.org": [mail], "to=ann@b.org/x": [mail], "~ann@b.org": [mail], "see (ann@b.org).": [mail],
+        "ann@b.org,bob@c.net": [mail, ("EMAIL", "bob@c.net")], "host (10.0.0.1) is": [ip], "host 10.0.0.1:8080 is": [ip], "at http://10.0.0.1/a is": [ip], "paid (4111 1111 1111 1111) so": [card],
+        "paid card=4111111111111111 so": [("CARD", "4111111111111111")], "call (743)555-3824 now": [("PHONE", "(743)555-3824")], "call 743 555 3824 now": [("PHONE", "743 555 3824")], "call tel:743-555-3824 now": [("PHONE", "743-555-3824")],
+        "call (743) 555 3824, now": [("PHONE", "(743) 555 3824")], "call ((743)555-3824) now": [("PHONE", "(743)555-3824")],
+        "at 12:30 in 2024/05/06 (page 3) and f(12) of 1/2 = 0.5, x=3": [], "sums of 100 200 3000 4000 and 743, 555, 3824": [],
+    }
+    for text, want in cases.items():
+        raw = text.encode()
+        assert [(n, raw[a:b].decode()) for n, a, b in pii.entities([text], w)[0]] == want, text
+    g = pii.graph(["ask ann@b.org first and then after many other words (ann@b.org) too"])
+    assert len(g.skip) == 1
