@@ -109,7 +109,7 @@ def keep_texts(docs: DataFrame, fn: Callable, most: int = 2 << 20) -> DataFrame:
 def sampled(df: DataFrame, mark: str, most: int) -> list:
     """The rows of the `most` least values of the hash column `mark`, one row a value, in that order. Hashes alone are gathered
     first, so that no task sends more texts than the sample has."""
-    marks = df.select(mark).orderBy(mark).limit(most).collect()
+    marks = df.select(mark).distinct().orderBy(mark).limit(most).collect()
     return df.where(F.col(mark) <= marks[-1][0]).dropDuplicates([mark]).orderBy(mark).collect() if marks else []
 
 

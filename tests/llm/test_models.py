@@ -5,6 +5,7 @@ import itertools
 import numpy as np
 
 from folioq.llm import langid, lines, pii
+from folioq.llm._spark import sampled
 
 
 def test_language_gradient():
@@ -179,3 +180,8 @@ def test_private_data_in_brackets_and_after_labels():
         assert [(n, raw[a:b].decode()) for n, a, b in pii.entities([text], w)[0]] == want, text
     g = pii.graph(["ask ann@b.org first and then after many other words (ann@b.org) too"])
     assert len(g.skip) == 1
+
+
+def test_a_sample_has_as_many_different_texts_with_copies_among_them(spark):
+    df = spark.createDataFrame([(1, "copy")] * 50 + [(k, f"text {k}") for k in range(2, 9)], "h long, t string")
+    assert [r.h for r in sampled(df, "h", 5)] == [1, 2, 3, 4, 5]
