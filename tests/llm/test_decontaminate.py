@@ -116,3 +116,11 @@ def test_short_items_are_found_word_for_word(spark):
     got = sorted(map(tuple, D.contaminated(docs, bench).collect()))
     assert got == [(0, 0, 1.0, 20, 24), (0, 5, 1.0, 20, 24), (1, 1, 1.0, 0, 7), (2, 2, 1.0, 0, 2)]
     assert sorted(r.doc_id for r in D.drop_contaminated(docs, bench).collect()) == [3, 4, 5, 6, 7]
+
+
+def test_the_filter_searches_items_without_id(spark):
+    rows, items = fixture(5)
+    rows.append((40, f"before it {items[8][1]} after it"))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {r.doc_id for r in D.drop_contaminated(docs, bench).collect()} == set(range(18, 40))
+    assert {r.doc_id for r in D.contaminated(docs, bench).collect()} == set(range(18))
