@@ -4,21 +4,27 @@ Every document gets `coordinates` MinHash values over word shingles. Documents a
 (coordinate, value) token, and a pair is kept when it collides on at least `matches` coordinates. Three exact
 reductions keep the join small:
 
-* documents with one and the same signature enter once, and are linked to the least doc_id of their set;
+* documents with one and the same signature are a class, which enters once and is named by its least doc_id;
 * prefix merging: tokens are ordered by how many signatures hold them; two signatures with `matches` common tokens share
   one among each one's first `coordinates - matches + 1` tokens, so only these are posted. Tokens held once fill the
   prefix but are never posted, so a document without a partner posts nothing;
-* skip merging: the longer lists (the rest of the tokens) are never merged; for the candidates found they are probed,
-  coordinate by coordinate.
+* skip merging: the longer lists (the rest of the tokens) are never merged. A post carries how many tokens follow it in its
+  document's order; a pair whose collisions so far, and all that may follow its last one, stay below `matches` is skipped,
+  and for the others the rest is probed, coordinate by coordinate.
+
+The result has a row a document, with its group and the number of its links, so copies aren't expanded into pairs. Classes
+are known by 64-bit hashes of their signatures.
 
 Defined results: a null doc_id, null text and a text without words have no partner. A text of fewer words than a shingle
 is one shingle. Rows that repeat a doc_id count as one document (each of the row's signatures is searched).
-Extra columns are ignored by the search and kept by the filter; an empty table gives an empty result.
+A text of any length has one signature. Extra columns (also of the names used here) are ignored by the search and kept by
+the filter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioq.llm._spark import map_arrow, stash, table, without
+from folioq.llm._spark import drop_stash, map_arrow, stash, table, without
 from folioq.llm._text import grams, range_hash, slices, words
 
 COORDINATES = 64
@@ -74,42 +80,73 @@ def signed(docs: DataFrame, coordinates: int = COORDINATES, shingle: int = SHING
     return map_arrow(known, run, "doc_id long, sig array<int>")
 
 
-def near_pairs(docs: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_a, doc_b, matches), doc_a < doc_b: all pairs of distinct signatures with enough collisions, each standing for
-    the least doc_id that has it, and a link from that doc_id to each other document of the same signature."""
-    least = F.min("doc_id").over(Window.partitionBy("sig"))
-    sigs = stash(signed(docs, coordinates, shingle).dropDuplicates().withColumn("rep", least), "signatures")
-    same = sigs.where("doc_id > rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(coordinates).alias("matches")).distinct()
-    # One entry a signature; the entry's key is the signature's hash, as a doc_id may stand for two signatures.
-    one = sigs.where("doc_id = rep").select(F.xxhash64("sig").alias("key"), "rep", "sig")
+#: Tokens that share one of HASH_BUCKETS buckets with more than HOT_ROWS posts are counted in two levels, and classes of more
+#: than HOT_ROWS documents looked up by broadcast: there are rows / HOT_ROWS of either at most.
+HASH_BUCKETS = 1 << 14
+HOT_ROWS = 1_000_000
+
+
+@dataclass
+class Near:
+    """Classes (key, rep, n) of equal signatures, members (doc_id, key), and pairs (ka, kb, ra, rb, matches) of classes."""
+
+    classes: DataFrame
+    members: DataFrame
+    pairs: DataFrame
+
+
+def _counted(tokens: DataFrame) -> DataFrame:
+    """(key, token, df) of the tokens that several keys hold. Only buckets known to be of bounded size are counted in a window; the
+    others' tokens are counted in parts by salt, which are then summed."""
+    bucket = F.pmod(F.xxhash64("token"), F.lit(HASH_BUCKETS))
+    hot = [r.b for r in tokens.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS).collect()]  # HASH_BUCKETS at most
+    light = tokens.where(~bucket.isin(hot)) if hot else tokens
+    counted = light.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
+    if not hot:
+        return counted
+    heavy = tokens.where(bucket.isin(hot)).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(64)))
+    parts = heavy.groupBy("token", "salt").agg(F.count(F.lit(1)).alias("n"))
+    sums = parts.groupBy("token").agg(F.sum("n").alias("df"), F.collect_list("salt").alias("salts")).where("df > 1")  # 64 salts at most
+    return counted.unionByName(heavy.join(sums.select("token", "df", F.explode("salts").alias("salt")), ["token", "salt"]).drop("salt"))
+
+
+def near(docs: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES, shingle: int = SHINGLE) -> Near:
+    """All pairs of distinct signatures with enough collisions, and who has which signature."""
+    sigs = stash(signed(docs, coordinates, shingle).withColumn("key", F.xxhash64("sig")), "signatures")
+    members = stash(sigs.select("doc_id", "key").distinct(), "members")
+    classes = stash(members.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    one = stash(sigs.groupBy("key").agg(F.first("sig").alias("sig")), "one")
     token = F.shiftleft(F.col("value").cast("long"), 8).bitwiseOR(F.col("pos").cast("long"))
     tokens = one.select("key", F.posexplode("sig").alias("pos", "value")).select("key", token.alias("token"))
-    shared = tokens.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
-    lists = shared.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t")).where(F.size("t") >= matches)
-    posts = lists.select("key", F.explode(F.slice("t", F.lit(1), F.size("t") - (matches - 1))).alias("p")).select("key", F.col("p.token").alias("token"))
-    posts = stash(posts, "posts")
+    lists = _counted(tokens).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t")).where(F.size("t") >= matches)
+    # A post knows how many of its document's tokens come after it in the common order.
+    posts = lists.select("key", F.size("t").alias("m"), F.posexplode(F.slice("t", F.lit(1), F.size("t") - (matches - 1))).alias("at", "p"))
+    posts = stash(posts.select("key", F.col("p.token").alias("token"), (F.col("m") - F.col("at") - 1).alias("rest")), "posts")
     a, b = posts.alias("a"), posts.alias("b")
-    found = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.key") < F.col("b.key"))).select(F.col("a.key").alias("ka"), F.col("b.key").alias("kb")).distinct()
-    left = one.select(F.col("key").alias("ka"), F.col("rep").alias("ra"), F.col("sig").alias("sa"))
-    right = one.select(F.col("key").alias("kb"), F.col("rep").alias("rb"), F.col("sig").alias("sb"))
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.key") < F.col("b.key"))).select(F.col("a.key").alias("ka"), F.col("b.key").alias("kb"), F.least("a.rest", "b.rest").alias("rest"))
+    # The rest of a pair's lists is skipped where even full agreement there can't reach `matches`; else it is probed.
+    found = met.groupBy("ka", "kb").agg(F.count(F.lit(1)).alias("n"), F.min("rest").alias("rest")).where(F.col("n") + F.col("rest") >= matches).select("ka", "kb")
+    left, right = (one.join(classes.select("key", "rep"), "key").select(F.col("key").alias(f"k{x}"), F.col("rep").alias(f"r{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
     hits = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    pairs = found.join(left, "ka").join(right, "kb").withColumn("matches", hits).where((F.col("matches") >= matches) & (F.col("ra") != F.col("rb")))
-    pairs = pairs.select(F.least("ra", "rb").alias("doc_a"), F.greatest("ra", "rb").alias("doc_b"), "matches")
-    return pairs.union(same).groupBy("doc_a", "doc_b").agg(F.max("matches").cast("int").alias("matches"))
+    pairs = found.join(left, "ka").join(right, "kb").withColumn("matches", hits).where(F.col("matches") >= matches)
+    return Near(classes, members, stash(pairs.select("ka", "kb", "ra", "rb", "matches"), "pairs"))
 
 
 def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     """(node, root): the least node that each node of an undirected graph is connected with. Nodes without an edge are
-    absent. Alternates large-star and small-star steps, each written to the shared folder, until nothing changes."""
+    absent. Alternates large-star and small-star steps, each written to the shared folder, until nothing changes; least
+    neighbours are found by grouping with partial minima, and the step before is deleted."""
+    spark = edges.sparkSession
     now = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u != v").distinct()
     now, mark = stash(now, "edges"), None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = F.least("u", F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        low = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("v"))).groupBy("u").agg(F.min("v").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = least.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        now = stash(small, "edges")
+        last, now = now, stash(small, "edges")
+        drop_stash(spark, last)
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == mark:
             break
@@ -118,22 +155,30 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, **params) -> DataFrame:
-    """One row a group of near-duplicates (pairs closed transitively): its least doc_id, all its doc_ids in order, and
-    the least share of equal coordinates among its retained pairs."""
-    share = params.get("coordinates", COORDINATES)
-    pairs = stash(near_pairs(docs, **params), "pairs")
-    roots = stash(components(pairs, "doc_a", "doc_b"), "roots")
-    weak = pairs.join(roots, pairs.doc_a == roots.node).groupBy("root").agg((F.min("matches") / share).alias("weakest_share"))
-    lists = roots.groupBy("root").agg(F.sort_array(F.collect_list("node")).alias("doc_ids"))
-    return lists.join(weak, "root").select(F.col("root").alias("group_doc_id"), "doc_ids", "weakest_share")
+    """One row a document that has a near-duplicate: (doc_id, group_doc_id, links). Pairs are closed transitively; a group is
+    named by its least doc_id; links counts the documents whose signature is the same or collides often enough."""
+    found = near(docs, **params)
+    # A doc_id with several texts joins their classes.
+    several = found.members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("ka")).where("c > 1").select("doc_id", "ka")
+    reps = found.classes.select("key", "rep")
+    ties = found.members.join(several, "doc_id").select("ka", F.col("key").alias("kb")).where("ka != kb")
+    ties = ties.join(reps.select(F.col("key").alias("ka"), F.col("rep").alias("ra")), "ka").join(reps.select(F.col("key").alias("kb"), F.col("rep").alias("rb")), "kb").select("ra", "rb")
+    roots = stash(components(found.pairs.select("ra", "rb").union(ties), "ra", "rb"), "roots")
+    sides = found.pairs.select(F.col("ka").alias("key"), F.col("kb").alias("other")).union(found.pairs.select("kb", "ka"))
+    far = sides.join(found.classes.select(F.col("key").alias("other"), "n"), "other").groupBy("key").agg(F.sum("n").alias("far"))
+    known = found.classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(far, "key", "left").where("n > 1 OR root IS NOT NULL")
+    known = stash(known.select("key", "n", F.coalesce("root", "rep").alias("group_doc_id"), (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("links")), "known")
+    hot = F.broadcast(known.where(F.col("n") > HOT_ROWS))
+    rest = found.members.join(hot.select("key"), "key", "left_anti").join(known.where(F.col("n") <= HOT_ROWS), "key")
+    both = found.members.join(hot, "key").unionByName(rest)
+    # Rows that share a doc_id and differ in text are one document.
+    return both.groupBy("doc_id").agg(F.min("group_doc_id").alias("group_doc_id"), F.sum("links").alias("links"))
 
 
 def drop_near(docs: DataFrame, **params) -> DataFrame:
     """`docs` without all but the least doc_id of each near-duplicate group. Documents in no group stay as they are,
     those without doc_id or words among them; rows that share a doc_id stay or go together."""
-    pairs = stash(near_pairs(docs, **params), "pairs")
-    gone = components(pairs, "doc_a", "doc_b").where("node != root").select("node")
-    return without(docs, stash(gone, "gone"))
+    return without(docs, stash(near_groups(docs, **params).where("doc_id != group_doc_id").select("doc_id"), "gone"))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

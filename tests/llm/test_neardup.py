@@ -42,11 +42,35 @@ def rows_with_copies(seed=0):
     return rows + [(60, "two words"), (61, "Two  WORDS"), (62, ""), (63, None), (64, " \n "), (None, rows[0][1]), (None, rows[0][1]), (65, "x"), (7, rows[7][1]), (66, rows[1][1])]
 
 
-def test_groups_are_those_of_all_pairs(spark):
+def grouped(found):
+    groups = {}
+    for r in found:
+        groups.setdefault(r.group_doc_id, []).append(r.doc_id)
+    return {k: sorted(v) for k, v in groups.items()}
+
+
+@pytest.mark.parametrize("hot", [N.HOT_ROWS, 3])
+def test_groups_are_those_of_all_pairs(spark, monkeypatch, hot):
+    """Also where every token list and class counts as hot."""
+    monkeypatch.setattr(N, "HOT_ROWS", hot)
     rows = rows_with_copies()
     df = spark.createDataFrame([(d, t, "k", 3) for d, t in rows], "doc_id long, text string, key string, rep int")
-    got = {r.group_doc_id: r.doc_ids for r in N.near_groups(df).collect()}
-    assert got == closed(all_pairs(rows)) and len(got) >= 5
+    found = N.near_groups(df).collect()
+    assert grouped(found) == closed(all_pairs(rows)) and len({r.doc_id for r in found}) == len(found) and len(grouped(found)) >= 5
+    pairs = all_pairs(rows)
+    assert {r.doc_id: r.links for r in found} == {d: sum(d in p for p in pairs) for d in {x for p in pairs for x in p}}
+
+
+def test_a_doc_id_with_two_texts_joins_their_groups(spark):
+    one, two = (" ".join(f"{x}{k}" for k in range(50)) for x in "ab")
+    df = spark.createDataFrame([(5, one), (6, one), (6, two), (9, two), (9, two), (1, "all alone with this")], "doc_id long, text string")
+    assert grouped(N.near_groups(df).collect()) == {5: [5, 6, 9]}
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{k}" for k in range(300_000))
+    df = spark.createDataFrame([(1, long), (2, long + " more"), (3, "short one")], "doc_id long, text string")
+    assert grouped(N.near_groups(df).collect()) == {1: [1, 2]}
 
 
 def test_one_stays_of_each_group(spark):
@@ -60,7 +84,7 @@ def test_one_stays_of_each_group(spark):
 
 def test_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    assert {r.group_doc_id: r.doc_ids for r in N.op4_minhash_near_dedup(spark, sf_dir).collect()} == closed(all_pairs(rows))
+    assert grouped(N.op4_minhash_near_dedup(spark, sf_dir).collect()) == closed(all_pairs(rows))
 
 
 def test_long_chain_is_one_component(spark):
