@@ -9,11 +9,13 @@ A byte-pair tokenizer is compiled into two deterministic transducers:
 * the counter reads a piece's bytes; each transition is annotated with the number of tokens that it adds (or takes back,
   where a longer token replaces some). A state holds what the rest can depend on: for each open start of a next token, its
   place in the vocabulary's trie, the token before it, and the tokens emitted since. Its transitions are compiled when they
-  are first met and kept in a dense table; from `MOST_STATES` on the table is started afresh, which changes no result.
+  are first met and kept in a dense table. Beyond `MOST_STATES`, looked at in every step, the table is emptied but for the
+  states in use, which changes no result. Long pieces are cut into chunks whose state maps, of the entry states that
+  occur, are made side by side and composed in order.
 
 Counts are exactly the tokenizer's. The vocabulary is a rank file (`VOCABULARY`, a parameter), read where a task runs.
 
-Defined results: null and empty texts have 0 tokens. Every row is counted, also with a null or repeated doc_id. Extra
+Defined results: null and empty texts have 0 tokens; texts and pieces may be of any length. Every row is counted, also with a null or repeated doc_id. Extra
 columns are ignored; an empty table gives an empty result. Special tokens' strings are ordinary text.
 """
 
@@ -33,6 +35,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CHUNK = 128
 #: Bound of the counter's table: half a kB a state, 1 kB where texts use more than 128 different bytes.
 MOST_STATES = 250_000
+#: Pieces of more bytes are counted in chunks of so many; bytes before a chunk that give its first entry state.
+LONG, WARM = 1024, 64
 
 # Classes of characters. R: r and v, which e may follow in a contraction; S: s, t, m, d.
 _LETTER, _S, _R, _L, _E, _NUMBER, _SPACE, _WHITE, _QUOTE, _OTHER, _END = range(11)
@@ -204,28 +208,37 @@ class Counter:
                     moved.append((nxt, before, since))
         change = 1 - back
         key = tuple(self.items.setdefault(x, x) for x in (*((a, b, s + change) for a, b, s in moved), (0, last, 0)))
-        to = self.state.get(key)
-        if to is None:
-            to = self.state[key] = len(self.open)
-            self.open.append(key)
-            if to == len(self.table):
-                grown = np.full((2 * to, self.table.shape[1]), -1, np.int32)
-                grown[:to] = self.table
-                self.table = grown
+        to = self.number(key)
         self.table[state, column] = to * 256 + change + 128
 
-    def count(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Tokens of each piece data[start:end]."""
-        size = end - start
+    def afresh(self, state: np.ndarray) -> np.ndarray:
+        """Empty the table but for the states in use, and give these their new numbers."""
+        used, at = np.unique(state, return_inverse=True)
+        keys = [self.open[k] for k in used.tolist()]
+        columns, self.fits = (self.column, self.byte, self.table.shape[1]), {} if len(self.fits) > 4 * self.most else self.fits
+        fits = self.fits
+        self.restart()
+        self.fits, (self.column, self.byte, width) = fits, columns
+        self.table = np.full((4096, width), -1, np.int32)
+        return np.array([self.number(key) for key in keys], np.int64)[at]
+
+    def number(self, key: tuple) -> int:
+        """The state's number; a new one if it isn't known."""
+        at = self.state.get(key)
+        if at is None:
+            at = self.state[key] = len(self.open)
+            self.open.append(key)
+            if at == len(self.table):
+                self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+        return at
+
+    def walk(self, column: np.ndarray, begin: np.ndarray, size: np.ndarray, keys: list | None = None) -> tuple[np.ndarray, list | None]:
+        """Tokens that are added from each entry state (`keys`; the initial one for None) by column[begin : begin + size], and
+        the states in the end if entry states were given. All lanes advance together; the table's bound holds at each step."""
         order = np.argsort(-size, kind="stable")
-        total = np.zeros(len(start), np.int64)
-        if not len(start):
-            return total
-        begin = start[order]
-        self.meet(data)
-        column, width = self.column[data], self.table.shape[1]
-        active = np.searchsorted(-size[order], -np.arange(int(size.max())), "left")
-        state = np.zeros(len(start), np.int64)
+        begin, total, width = begin[order], np.zeros(len(size), np.int64), self.table.shape[1]
+        active = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), "left")
+        state = np.zeros(len(size), np.int64) if keys is None else np.array([self.number(keys[k]) for k in order.tolist()], np.int64)
         for k, n in enumerate(active.tolist()):
             at = state[:n] * width + column[begin[:n] + k]
             got = self.table.reshape(-1)[at]
@@ -235,11 +248,48 @@ class Counter:
                 got = self.table.reshape(-1)[at]
             state[:n] = got >> 8
             total[:n] += (got & 255) - 128
+            if len(self.open) > self.most + len(state):
+                state = self.afresh(state)
         out = np.empty_like(total)
         out[order] = total
-        if len(self.open) > self.most:
-            self.restart()
-        return out
+        if keys is None:
+            return out, None
+        ends: list = [None] * len(size)
+        for k, x in zip(order.tolist(), state.tolist(), strict=True):
+            ends[k] = self.open[x]
+        return out, ends
+
+    def count(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Tokens of each piece data[start:end]. Pieces over LONG bytes are cut into chunks. A chunk's map, from entry state to
+        tokens and exit state, begins with the state that WARM bytes before it lead to from the initial one, for all chunks
+        at once; the maps are composed in order, and an entry state that a map lacks is added when it is met. Equal chunks
+        share a map."""
+        size = end - start
+        self.meet(data)
+        column = self.column[data]
+        total = np.zeros(len(start), np.int64)
+        short = np.flatnonzero(size <= LONG)
+        if len(short):
+            total[short] = self.walk(column, start[short], size[short])[0]
+        for k in np.flatnonzero(size > LONG).tolist():
+            at = np.arange(start[k], end[k], LONG)
+            length = np.minimum(LONG, end[k] - at)
+            root = ((0, -1, 0),)
+            warm = np.minimum(WARM, at - start[k])
+            _, guess = self.walk(column, at - warm, warm, [root] * len(at))
+            added, ends = self.walk(column, at, length, guess)
+            raw = [data[a : a + n].tobytes() for a, n in zip(at.tolist(), length.tolist(), strict=True)]
+            maps: dict[bytes, dict] = {}
+            for chunk, entry, n, out in zip(raw, guess, added.tolist(), ends, strict=True):
+                maps.setdefault(chunk, {})[entry] = n, out
+            now = root
+            for j, chunk in enumerate(raw):
+                if now not in maps[chunk]:
+                    n, out = self.walk(column, at[j : j + 1], length[j : j + 1], [now])
+                    maps[chunk][now] = int(n[0]), out[0]
+                n, now = maps[chunk][now]
+                total[k] += n
+        return total
 
 
 @lru_cache(2)

@@ -79,3 +79,24 @@ def test_nulls_repeats_and_other_columns(spark):
     assert sorted((r.doc_id or 0, r.tokens) for r in T.counted(df).collect()) == [(0, 2), (1, 0), (1, 0), (2, 2), (2, 2)]
     assert T.counted(df.limit(0)).collect() == []
     assert re.match("bigint", dict(T.counted(df).dtypes)["tokens"])
+
+
+def test_long_pieces_in_chunks_and_a_small_table(library, model):
+    rng = random.Random(3)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000))
+    texts = ["x" * 100_001, letters, "漢字" * 3000, "a1" + letters[:5000] + "'s", "=" * 70_000, " " * 50_000, "ab" * 2000 + letters[:3000], letters[:1024], letters[:1025]]
+    assert T.token_counts(texts, model).tolist() == library(texts)
+    small = T.Counter(T.VOCABULARY, most=300)
+    assert T.token_counts(texts[1:5], small).tolist() == library(texts[1:5])
+    assert len(small.open) < 300 + 5000
+
+
+def test_a_piece_of_ten_megabytes(library, model):
+    """As one run of one letter and as one of repeated blocks; the table stays within its bound."""
+    rng = random.Random(4)
+    block = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(4096))
+    got = T.token_counts(["z" * 10_000_000, block * 2500], model).tolist()
+    assert got[0] == library(["z" * 10_000])[0] * 1000
+    four, five, six = library([block * k for k in (4, 5, 6)])
+    assert five - four == six - five and got[1] == four + (2500 - 4) * (five - four)
+    assert len(model.open) <= model.most + 20_000
