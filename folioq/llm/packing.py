@@ -1,6 +1,6 @@
 """Best-fit packing of documents into fixed-size sequences by linear grouping (operator 5).
 
-Lengths are whitespace words. A text longer than the capacity is cut into full pieces and a rest. The plan is made on the
+Lengths are tokens, as operator 6 counts them. A text longer than the capacity is cut into full pieces and a rest. The plan is made on the
 histogram of piece lengths, which has at most `capacity` entries whatever the corpus size:
 
 * pieces over capacity / SMALL are large: in order of falling length they form GROUPS groups of equal cardinality, and
@@ -12,7 +12,10 @@ histogram of piece lengths, which has at most `capacity` entries whatever the co
 
 Bins alike in room are handled as ranges, so no step is per document; each piece finds its bin from its rank by length.
 
-Defined results: null texts and texts without words have no piece. Every row is packed, also with a null or repeated
+The simplex method stops after `STEPS` exchanges at the latest; as every basis on the way is a feasible plan, the result is
+then whole too, only less tight.
+
+Defined results: null and empty texts have no piece; a text may be of any length. Every row is packed, also with a null or repeated
 doc_id. Pieces of equal length are interchangeable; which gets which bin follows doc_id and piece. Extra columns are
 ignored. An empty table gives an empty result.
 """
@@ -28,11 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioq.llm import tokens
 from folioq.llm._spark import map_arrow, ranked, stash, table
+from folioq.llm.tokens import VOCABULARY
 
 CAPACITY = 2048
 SMALL = 8
 GROUPS = 10
+STEPS = 2000
 
 
 def configurations(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -51,7 +57,7 @@ def fewest_bins(sizes: np.ndarray, need: np.ndarray, capacity: int) -> list[tupl
     """Configurations and how many bins of each: the linear program's optimum, rounded up."""
     choices = configurations(sizes, capacity).astype(float)
     basis = np.diag((capacity // sizes).astype(float))
-    for _ in range(2000):
+    for _ in range(STEPS):
         inverse = np.linalg.inv(basis)
         x = inverse @ need
         price = np.ones(len(sizes)) @ inverse
@@ -152,18 +158,21 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS,
     return first, np.array(sorted(entries), np.int64).reshape(-1, 3), bins
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length) in words, for every text with words."""
-    n = F.regexp_count("text", F.lit(r"\S+"))
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.cast("long").alias("n")).where("n > 0")
+def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = VOCABULARY) -> DataFrame:
+    """(doc_id, piece, start, length) in tokens, or in white-space words for no vocabulary, for every text that has any."""
+    if vocabulary is None:
+        counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_count("text", F.lit(r"\S+")).cast("long").alias("n"))
+    else:
+        counted = tokens.counted(docs, vocabulary).select("doc_id", F.col("tokens").alias("n"))
+    counted = counted.where("n > 0")
     cut = counted.select("doc_id", "n", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / capacity).cast("int"))).alias("piece"))
     start = F.col("piece") * F.lit(capacity).cast("long")
     return cut.select("doc_id", "piece", start.alias("start"), F.least(F.lit(capacity), F.col("n") - start).cast("int").alias("length"))
 
 
-def packed(docs: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> DataFrame:
-    """(doc_id, piece, start, length, bin, offset): where each piece goes; start and offset count words."""
-    cut = stash(pieces(docs, capacity), "pieces")
+def packed(docs: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL, vocabulary: str | None = VOCABULARY) -> DataFrame:
+    """(doc_id, piece, start, length, bin, offset): where each piece goes; start and offset count tokens."""
+    cut = stash(pieces(docs, capacity, vocabulary), "pieces")
     counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     first, steps, _ = plan(counts, capacity, groups, small)
     begin = np.zeros(capacity + 1, np.int64)

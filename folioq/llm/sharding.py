@@ -2,12 +2,13 @@
 
 Documents with equal text form a group that must stay together. Groups, largest first, go to the least-loaded shard
 through a heap. Groups of one size are interchangeable, so the schedule is made on the histogram of group sizes: a size
-held by many groups is placed in one step that gives each shard as many as the heap would. The documents then look up
+held by many groups is placed in one step as far as the heap surely goes, and by the heap from there. The documents then look up
 their shard by their group's size and its rank among the groups of that size.
 
 Defined results: a null text counts as empty, so null and empty texts form one group; a group's size is the sum of its
 texts' bytes, 1 at least. Every row gets a shard, also with a null or repeated doc_id; ties between sizes are broken by
-the text's hash, ties between shards by the lower number. Extra columns are ignored; an empty table gives an empty result.
+the text's hash, ties between shards by the lower number. Texts may be of any length. The driver holds the histogram, whose
+different sizes are at most the square root of twice the table's bytes. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,23 +30,19 @@ def schedule(sizes: list[tuple[int, int]], shards: int = SHARDS) -> tuple[list[t
     the next ones before bounds[1] to shards[1], and so on; and the shards' loads."""
     load, rows = np.zeros(shards, np.int64), []
     for size, count in sorted(sizes, reverse=True):
-        if count <= 4 * shards:
-            heap = [(int(x), i) for i, x in enumerate(load)]
-            heapq.heapify(heap)
-            given = np.zeros(shards, np.int64)
-            for _ in range(count):
-                x, i = heap[0]
-                heapq.heapreplace(heap, (x + size, i))
-                given[i] += 1
-        else:
-            # The heap hands out the `count` least of load + 0, size, 2 size, ...: find the level below which they lie.
-            lo, hi = int(load.min()), int(load.max()) + size * (count // shards + 2)
-            while hi - lo > 1:
-                level = (lo + hi) // 2
-                lo, hi = (level, hi) if np.maximum(0, -((load - level) // size)).sum() <= count else (lo, level)
-            given = np.maximum(0, -((load - lo) // size))
-            at_level = np.flatnonzero(load + given * size == lo)
-            given[at_level[: count - int(given.sum())]] += 1
+        # The heap hands out the `count` least of load + 0, size, 2 size, ... Those below a level that it surely passes are
+        # counted at once, the rest goes through the heap itself.
+        lo, hi = int(load.min()), int(load.max()) + size * (count // shards + 2)
+        while hi - lo > 1:
+            level = (lo + hi) // 2
+            lo, hi = (level, hi) if np.maximum(0, -((load - level) // size)).sum() <= count else (lo, level)
+        given = np.maximum(0, -((load - lo) // size))
+        heap = [(int(x), i) for i, x in enumerate(load + given * size)]
+        heapq.heapify(heap)
+        for _ in range(count - int(given.sum())):
+            x, i = heap[0]
+            heapq.heapreplace(heap, (x + size, i))
+            given[i] += 1
         load += given * size
         used = np.flatnonzero(given)
         rows.append((size, np.cumsum(given[used]).tolist(), used.tolist()))

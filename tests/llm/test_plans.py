@@ -43,7 +43,7 @@ def test_packed_rows(spark):
     rng = np.random.default_rng(1)
     rows = [(d, " ".join(["w"] * int(rng.integers(0, 400)))) for d in range(120)] + [(1, "again"), (None, "no id here"), (7, None), (8, "  "), (9, "w " * 1000)]
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, piece int, bin string")
-    out = packing.packed(df, capacity=256).collect()
+    out = packing.packed(df, capacity=256, vocabulary=None).collect()
     bins = {}
     for r in out:
         bins.setdefault(r.bin, []).append((r.offset, r.length))
@@ -60,6 +60,53 @@ def test_packed_rows(spark):
     assert packing.packed(df.limit(0)).collect() == []
 
 
+def test_packed_tokens(spark):
+    """Lengths are those that operator 6 counts."""
+    from folioq.llm import tokens
+
+    rng = np.random.default_rng(2)
+    rows = [(d, "some words, " * int(rng.integers(0, 300))) for d in range(60)] + [(None, "x"), (3, None), (4, ""), (5, "long text here " * 50_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = packing.packed(df).collect()
+    counts = sorted((d, int(n)) for (d, t), n in zip(rows, tokens.token_counts([t for _, t in rows], tokens.counter(tokens.VOCABULARY)), strict=True) if d is not None and n)
+    held = {}
+    for r in out:
+        held.setdefault(r.bin, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in h) <= packing.CAPACITY for h in held.values())
+    by = {}
+    for r in out:
+        if r.doc_id is not None:
+            by[r.doc_id] = by.get(r.doc_id, 0) + r.length
+    want = {}
+    for d, n in counts:
+        want[d] = want.get(d, 0) + n
+    assert by == want
+
+
+def test_configurations_are_all_that_fit():
+    sizes = np.array([7, 5, 3])
+    got = {tuple(c) for c in packing.configurations(sizes, 16).tolist()}
+    want = {(a, b, c) for a in range(4) for b in range(5) for c in range(7) if 0 < 7 * a + 5 * b + 3 * c <= 16}
+    assert got == want
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_bins_come_close_to_the_fewest(seed):
+    """Against an exhaustive search: the linear program's bound holds, and the counts rounded up exceed it by one a size at most."""
+    rng = np.random.default_rng(seed)
+    sizes = np.unique(rng.integers(3, 12, 3))[::-1]
+    need = rng.integers(0, 4, len(sizes))
+    chosen = packing.fewest_bins(sizes, need.astype(float), 12)
+    assert (sum(n * c for c, n in chosen) >= need).all() if chosen else not need.any()
+    configs = [tuple(c) for c in packing.configurations(sizes, 12).tolist()]
+    best = {tuple(need.tolist()): 0}
+    now, steps = {tuple(need.tolist())}, 0
+    while not any(not any(x) for x in now):
+        steps += 1
+        now = {tuple(max(0, a - b) for a, b in zip(x, c, strict=True)) for x in now for c in configs}
+    assert steps <= sum(n for _, n in chosen) <= steps + len(sizes) and best
+
+
 @pytest.mark.parametrize(("seed", "shards"), [(0, 1), (1, 3), (2, 16), (3, 64)])
 def test_schedule_is_the_heap_s(seed, shards):
     rng = np.random.default_rng(seed)
@@ -74,6 +121,31 @@ def test_schedule_is_the_heap_s(seed, shards):
     assert all(bounds[-1] == dict(sizes)[size] for size, bounds, _ in rows)
 
 
+def test_shards_are_those_of_a_heap_over_groups(spark):
+    """sharded() against the heap itself: every group's shard, with ties by the text's hash; very long, null and empty texts."""
+    import hashlib
+
+    rng = np.random.default_rng(7)
+    rows = [(d, "t" * int(rng.integers(0, 30)) + str(d % 50)) for d in range(200)] + [(900, "y" * 2_000_000), (901, "y" * 2_000_000), (902, None), (903, "")]
+    got = {r.doc_id: (r.shard, r.group_bytes) for r in sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
+    groups = {}
+    for d, t in rows:
+        groups.setdefault(t or "", []).append(d)
+    size = {t: max(1, len(t) * len(ids)) for t, ids in groups.items()}
+    load = [(0, i) for i in range(5)]
+    want = {}
+    for n in sorted(set(size.values()), reverse=True):
+        shards = []
+        for _ in [t for t in groups if size[t] == n]:
+            x, i = heapq.heappop(load)
+            heapq.heappush(load, (x + n, i))
+            shards.append(i)
+        want[n] = sorted(shards)
+    assert {n: sorted(got[ids[0]][0] for t, ids in groups.items() if size[t] == n) for n in want} == want
+    assert all({got[d] for d in ids} == {(got[ids[0]][0], size[t])} for t, ids in groups.items())
+    assert len({hashlib.md5(t.encode()).digest() for t in groups}) == len(groups)
+
+
 def test_equal_texts_stay_together(spark):
     rows = [(d, f"text {d % 37} " + "x" * (d % 37)) for d in range(300)] + [(None, None), (5, ""), (6, "text 1 x")]
     df = spark.createDataFrame([(d, t, 1, "y") for d, t in rows], "doc_id long, text string, shard int, key string")
