@@ -15,7 +15,7 @@ A passage of `PASSAGE` words or more that occurs in two documents is found whole
 * runs of suffixes with common prefixes of PASSAGE words that belong to different documents are repeated passages. Each
   segment's part is carried back to all its places, and overlapping parts are merged.
 
-An anchor with over `LARGE` different segments would fill one task; these are resolved by grouping their passages of
+A text may be of any length. An anchor with over `LARGE` different segments would fill one task; these are resolved by grouping their passages of
 exactly PASSAGE words instead, with equal results.
 
 Words are runs of bytes other than ASCII white space and control characters, compared as they stand. Defined results:
@@ -45,8 +45,8 @@ GRAM = 25
 WINDOW = PASSAGE - GRAM + 1
 ARM = PASSAGE - GRAM
 #: Segments that are sorted together, at least, and from which an anchor is resolved by grouping.
-COLLECTION = 3000
-LARGE = 20_000
+COLLECTION = 12_000
+LARGE = 60_000
 _LINK = (1 << 32) - 1
 
 
