@@ -7,8 +7,9 @@ many windows advance together; every byte of the text lies in one window.
 
 Defined results: a document is "und", and rejected, when that class has a mean probability of at least `REJECT`, so a
 short text full of numbers and marks is kept; else its language is the likeliest of the others. Null and empty texts
-are "und" with probability 1. Without any labelled row everything is "und".
-Repeated rows are judged alike; extra columns are ignored by the report and kept by the filter.
+are "und" with probability 1. Without any labelled row everything is "und", and every text that isn't empty is accepted, as
+there is nothing to tell by. A text may be of any length. Of languages equally likely the first in order of their names
+counts. An empty table gives an empty result. Repeated rows are judged alike; extra columns are ignored by the report and kept by the filter.
 """
 
 from __future__ import annotations
@@ -234,6 +235,13 @@ def fitted(docs: DataFrame) -> dict:
     return compiled(train([r.text for r in rows], [r.lang for r in rows]))
 
 
+def accepted(model: dict, texts: list, best: np.ndarray) -> np.ndarray:
+    """Whether each text, whose label has the index `best`, is taken for a language."""
+    if model["labels"] == [UNKNOWN]:
+        return np.array([bool(t) for t in texts], bool)
+    return best != len(model["labels"]) - 1
+
+
 def identified(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """(doc_id, language, probability, positions, accepted) of every row; positions is the share of bytes given the
     language. The model, a few kB whatever the input, travels in the task's closure."""
@@ -242,7 +250,7 @@ def identified(docs: DataFrame, model: dict | None = None) -> DataFrame:
     def judge(texts: list) -> tuple[None, dict]:
         best, p, share = predict(model, texts)
         names = np.array(model["labels"], object)[best]
-        return None, {"language": names, "probability": p, "positions": share, "accepted": names != UNKNOWN}
+        return None, {"language": names, "probability": p, "positions": share, "accepted": accepted(model, texts, best)}
 
     return map_texts(docs, judge, "language string, probability double, positions double, accepted boolean")
 
@@ -250,12 +258,7 @@ def identified(docs: DataFrame, model: dict | None = None) -> DataFrame:
 def accept(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """Rows of `docs` whose text is accepted as one of the languages."""
     model = model or fitted(docs)
-    unknown = model["labels"].index(UNKNOWN)
-
-    def keep(texts: list) -> np.ndarray:
-        return predict(model, texts)[0] != unknown
-
-    return keep_texts(docs, keep)
+    return keep_texts(docs, lambda texts: accepted(model, texts, predict(model, texts)[0]))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

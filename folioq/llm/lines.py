@@ -8,12 +8,14 @@ own, so training alternates: all lines of good documents are content, apart from
 documents begin as boilerplate and are decoded anew after each fit.
 
 Defined results: null and empty texts have no content and are not retained; lines of white space alone belong to neither
-label. Without any labelled document fixed weights are used (`DEFAULT`). Each row is judged by itself, also with a null
+label. A text of any length is one sequence; equal labellings are settled in favour of content. Of several texts of a
+labelled doc_id the least is trained on. Without any labelled document fixed weights are used (`DEFAULT`). Each row is judged by itself, also with a null
 or repeated doc_id; extra columns are ignored by the report and kept by the filter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass
 
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 from folioq.llm._spark import keep_texts, map_texts, table
 from folioq.llm._text import SPACE, mix, range_hash, words
 
-#: Bound of the training sample, in labelled documents.
+#: Bound of the training sample: labelled documents, and lines of each, in sequences.
 TRAIN_ROWS = 1500
+TRAIN_LINES = 128
+TRAIN_PARTS = 4
 SHARE = 0.5
 #: Decay of the chain's weights: labels must not spread from a licence line to the sentences beside it.
 CHANGE_DECAY = 0.01
@@ -151,7 +155,17 @@ def _gradient(found: Lines, gold: np.ndarray, weights: np.ndarray, change: np.nd
 
 
 def fit(found: Lines, quality: np.ndarray, rounds: int = 3, steps: int = 120) -> tuple[np.ndarray, np.ndarray]:
-    """Weights from documents with a quality of 0 or 1."""
+    """Weights from documents with a quality of 0 or 1; of a long one, TRAIN_PARTS sequences of TRAIN_LINES lines that are evenly
+    spaced over it."""
+    parts = []
+    for a, b in itertools.pairwise(found.first.tolist()):
+        begins = np.arange(a, b, TRAIN_LINES)
+        if len(begins) > TRAIN_PARTS:
+            begins = begins[np.linspace(0, len(begins) - 1, TRAIN_PARTS).astype(int)]
+        parts += [np.arange(x, min(b, x + TRAIN_LINES)) for x in begins.tolist()]
+    if parts:
+        rows = np.concatenate(parts)
+        found = Lines(found.doc[rows], found.x[rows], found.size[rows], np.r_[0, np.cumsum([len(p) for p in parts])])
     bad = quality[found.doc] == 0
     licence = found.x[:, FEATURES.index("licence")] > 0
     gold = (bad | licence).astype(np.int8)
@@ -183,7 +197,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple:
     """Train on the TRAIN_ROWS labelled documents of least hash. Of several labels the least counts."""
     known = labels.select(F.col("doc_id").cast("long").alias("k"), F.col("quality").cast("int").alias("q")).where("k IS NOT NULL AND q IN (0, 1)").groupBy("k").agg(F.min("q").alias("q"))
     chosen = known.orderBy(F.xxhash64("k"), "k").limit(TRAIN_ROWS)
-    rows = docs.select(F.col("doc_id").cast("long").alias("k"), F.col("text").cast("string").alias("t")).join(F.broadcast(chosen), "k").orderBy("k", "t").collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("k"), F.col("text").cast("string").alias("t")).join(F.broadcast(chosen), "k").groupBy("k").agg(F.min("t").alias("t"), F.min("q").alias("q")).orderBy("k").collect()
     return fit(lines([r.t for r in rows]), np.array([r.q for r in rows])) if rows else DEFAULT
 
 

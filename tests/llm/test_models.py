@@ -259,3 +259,42 @@ def test_query_equals_search_of_every_text(spark, sf_dir):
     want = {(r.doc_id, pii.redact(r.text, s), tuple(s)) for r in docs.collect() if (s := pii.entities([r.text], w)[0])}
     got = {(r.doc_id, r.redacted, tuple(map(tuple, r.entities))) for r in pii.op2_skip_chain_pii(spark, sf_dir).collect()}
     assert got == want and got
+
+
+def test_language_network_in_inference_equals_the_trained_one():
+    """_run's folded single-precision pass against the forward pass that gradients() differentiates, by the loss."""
+    rng = np.random.default_rng(5)
+    net = langid.new_network(["a", "b", "und"], 4, rng)
+    data = rng.integers(0, 256, (6, 20)).astype(np.uint8)
+    total, given = langid._run(langid.compiled(net), data, np.full(6, 20))
+    for label in range(3):
+        # The mean log-probability of a label over the positions, from the loss, bounds the log of its mean probability.
+        loss = [langid.gradients(net, data[k : k + 1], np.array([label]))[0] for k in range(6)]
+        assert (np.log(total[:, label] / 20) >= -np.array(loss) - 1e-4).all()
+    one = langid._run(langid.compiled(net), data[:, :1], np.full(6, 1))[0]
+    for label in range(3):
+        loss = [langid.gradients(net, data[k : k + 1, :1], np.array([label]))[0] for k in range(6)]
+        assert np.allclose(one[:, label], np.exp(-np.array(loss)), atol=1e-5)
+    assert np.allclose(total.sum(1), 20, atol=1e-3) and (given.sum(1) == 20).all()
+
+
+def test_language_without_labels_keeps_the_texts(spark):
+    df = spark.createDataFrame([(1, "some text", None, True), (2, "", None, False), (3, None, None, None)], "doc_id long, text string, lang string, accepted boolean")
+    assert [r.doc_id for r in langid.accept(df).collect()] == [1] and langid.accept(df).columns == df.columns
+    assert {r.doc_id: r.accepted for r in langid.identified(df).collect()} == {1: True, 2: False, 3: False}
+
+
+def test_quality_query_equals_judging_every_text(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    model = lines.fitted(docs, labels)
+    rows = docs.collect()
+    want = {r.doc_id: (n, c) for r, n, c, s in zip(rows, *lines.shares(model, [r.text for r in rows]), strict=True) if n and s >= lines.SHARE}
+    assert {r.doc_id: (r.lines, r.content_lines) for r in lines.op1_line_quality(spark, sf_dir).collect()} == want
+
+
+def test_quality_of_very_long_texts_and_repeated_labelled_rows(spark):
+    long = "A plain sentence of words goes here.\n" * 60_000
+    df = spark.createDataFrame([(1, long), (2, "buy!!! $$$ %%%")] + [(3, "A plain sentence of words.")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    got = lines.judged(df, labels).collect()
+    assert len(got) == 52 and next(r for r in got if r.doc_id == 1).retained and next(r for r in got if r.doc_id == 1).lines == 60_000
