@@ -74,8 +74,8 @@ def normalize_text(text: Column, latin_fold: bool = False, composed: bool = Fals
     `composed`: the input is known to be in composed form, which saves the only Python step."""
     out = F.coalesce(text, F.lit(""))
     if not composed:
-        # Plain ASCII is in composed form already.
-        out = F.when(out.rlike(r"[^\x00-\x7f]"), nfc(out)).otherwise(out)
+        # Plain ASCII is in composed form already. It goes to Python as null: a branch wouldn't keep it from being sent.
+        out = F.coalesce(nfc(F.when(out.rlike(r"[^\x00-\x7f]"), out)), out)
     out = F.translate(out, _PLAIN_FROM + _DROPPED, _PLAIN_TO)
     out = reduce(lambda t, kv: F.replace(t, F.lit(kv[0]), F.lit(kv[1])), _SPELLED.items(), out)
     # The pairs of a retroflex letter and h fold like the letter alone.
@@ -139,6 +139,10 @@ def is_non_latin(text: Column) -> Column:
     return (F.length(flat) >= 5) & (letters > 0) & (foreign / F.greatest(letters, F.lit(1)) >= 0.20)
 
 
+#: A word with a letter and two word characters, whose part between its first and last word character holds no mojibake.
+_MEANINGFUL = r"(?<!\S)(?=\S*\p{L})(?=\S*?[\p{L}\p{N}_]\S*?[\p{L}\p{N}_])(?!\S*(?:[ÃÂï]\S*[\p{L}\p{N}_]|à[¤¥¦¨]\S*[\p{L}\p{N}_]|à[ª³]))\S+"
+
+
 def quality(text: Column) -> dict[str, Column]:
     """The measures that decide whether a page's text is usable."""
     flat = compact(F.coalesce(text, F.lit("")))
@@ -146,9 +150,9 @@ def quality(text: Column) -> dict[str, Column]:
     listed = word_list(flat)
     n = F.greatest(F.size(listed), F.lit(1))
     odd = F.length(F.regexp_replace(flat, r"[\p{L}\p{N}\p{M}\s.,:;!?()\[\]{}'\"/_%+&*#°₹$=|।॥-]", ""))
-    core = lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", "")
-    meaningful = F.size(F.filter(listed, lambda w: (F.length(core(w)) >= 2) & core(w).rlike(r"\p{L}") & ~core(w).rlike("Ã.|Â.|ï.|à¤|à¥|à¦|à¨|àª|à³")))
-    mixed = F.size(F.filter(listed, lambda w: w.rlike("[A-Za-z]") & w.rlike(r"[^\x00-\x7f]") & ~w.rlike(f"[{INDIC}]")))
+    # Words are counted by one scan of the text, with what a word must hold as look-ahead from its start.
+    meaningful = F.regexp_count(flat, F.lit(_MEANINGFUL))
+    mixed = F.regexp_count(flat, F.lit(rf"(?<!\S)(?=\S*[A-Za-z])(?=\S*[^\x00-\x7f])(?!\S*[{INDIC}])\S+"))
     return {
         "symbol_ratio": odd / chars,
         "non_ascii_ratio": share(flat, r"^\x00-\x7f") / chars,

@@ -35,45 +35,62 @@ def top(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 12) -> DataFrame:
-    """(query_id, id, score, rank) by cosine of queries (query_id, qvec) and corpus (id, vec), the query's own id left out.
-
-    Up to SMALL_ROWS queries of one length travel to the tasks as a matrix, and each batch of the corpus gives its own first k
-    of every query; more queries, or vectors of several lengths, are met by a join."""
-    shapes = queries.limit(SMALL_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.size("qvec")).alias("sizes"), F.count("qvec").alias("known")).first()
-    if not 0 < shapes.n <= SMALL_ROWS or shapes.sizes != 1 or shapes.known != shapes.n:
-        return _joined_topk(queries, corpus, k)
-    rows = queries.select("query_id", "qvec").collect()
-    ids, matrix = np.array([r.query_id for r in rows], np.int64), np.array([r.qvec for r in rows], float)
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    matrix = matrix / np.where(norms > 0, norms, 1)
+#: Queries that are scored together.
+BLOCK = 512
+
+
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 12, own: bool = False) -> DataFrame:
+    """(query_id, id, score, rank) by cosine of queries (query_id, qvec) and corpus (id, vec); unless `own`, a query's own id is
+    left out. Vectors that are null, zero or of another length than the query's score 0.
+
+    Up to SMALL_ROWS queries travel to the tasks as matrices; more take one pass over the corpus for each SMALL_ROWS. A batch
+    of the corpus meets them in blocks by matrix products and gives its own first k of every query, so that neither pairs nor
+    a block's scores grow with either table."""
+    queries = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("qvec").cast("array<double>").alias("qvec"))
+    corpus = corpus.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    passes = -(-queries.count() // SMALL_ROWS)
+    hits = [_pass(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p) if passes > 1 else queries, corpus, k, own) for p in range(max(1, passes))]
+    found = hits[0]
+    for more in hits[1:]:
+        found = found.union(more)
+    return top(found, ["query_id"], [F.desc("score"), F.asc("id")], k)
+
+
+def _units(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: the rows whose vector has it, and the vectors divided by their norms (zero ones stay zero)."""
+    size = np.array([-1 if n is None else n for n in pa.compute.list_value_length(vectors).to_pylist()], np.int64)
+    flat, found = vectors.flatten().to_numpy(zero_copy_only=False), {}
+    at = np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)
+    for n in np.unique(size[size > 0]).tolist():
+        rows = np.flatnonzero(size == n)
+        matrix = np.nan_to_num(flat[at[rows][:, None] + np.arange(n)])
+        norm = np.linalg.norm(matrix, axis=1, keepdims=True)
+        found[n] = rows, matrix / np.where(norm > 0, norm, 1)
+    return found
+
+
+def _pass(queries: DataFrame, corpus: DataFrame, k: int, own: bool) -> DataFrame:
+    rows = queries.toArrow().combine_chunks()
+    asked = [rows.slice(at, BLOCK) for at in range(0, rows.num_rows, BLOCK)]
+    blocks = [(b.column("query_id").to_numpy(), _units(b.column("qvec").combine_chunks())) for b in asked]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(at, 1000) for at in range(0, batch.num_rows, 1000)):
-                found, vectors = part.column(0).to_numpy(), [v if v is not None and len(v) == matrix.shape[1] else None for v in part.column(1).to_pylist()]
-                other = np.array([np.zeros(matrix.shape[1]) if v is None else v for v in vectors], float)
-                size = np.linalg.norm(other, axis=1, keepdims=True)
-                score = np.round(matrix @ (other / np.where(size > 0, size, 1)).T, 6) + 0.0
-                score[ids[:, None] == found] = -np.inf
-                # All that reach the k-th score stay, so that ties are settled by id afterwards.
-                bound = np.partition(score, -k, axis=1)[:, -k][:, None] if len(found) > k else -np.inf
-                q, c = np.nonzero((score >= bound) & (score > -np.inf))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(found[c]), pa.array(score[q, c])], ["query_id", "id", "score"])
-
-    hits = corpus.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, "query_id long, id long, score double")
-    return top(hits, ["query_id"], [F.desc("score"), F.asc("id")], k)
-
-
-def _joined_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    queries = queries.select("query_id", "qvec", norm(F.col("qvec")).alias("qnorm"))
-    corpus = corpus.select("id", "vec", norm(F.col("vec")).alias("norm"))
-    pairs = corpus.crossJoin(small(queries)).where("id <> query_id")
-    dot = F.aggregate(F.zip_with("qvec", "vec", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    size = F.col("qnorm") * F.col("norm")
-    score = F.round(F.coalesce(F.when((F.size("qvec") == F.size("vec")) & (size > 0), dot / size), F.lit(0.0)), 6)
-    return top(pairs.select("query_id", "id", score.alias("score")), ["query_id"], [F.desc("score"), F.asc("id")], k)
+            for part in (batch.slice(at, 4096) for at in range(0, batch.num_rows, 4096)):
+                found, units = part.column(0).to_numpy(), _units(part.column(1))
+                for ids, known in blocks:
+                    score = np.zeros((len(ids), len(found)))
+                    for n in known.keys() & units.keys():
+                        score[np.ix_(known[n][0], units[n][0])] = known[n][1] @ units[n][1].T
+                    score = np.round(score, 6) + 0.0
+                    if not own:
+                        score[ids[:, None] == found] = -np.inf
+                    # All that reach the k-th score stay, so that ties are settled by id afterwards.
+                    bound = np.partition(score, -k, axis=1)[:, -k][:, None] if len(found) > k else -np.inf
+                    q, c = np.nonzero((score >= bound) & (score > -np.inf))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(found[c]), pa.array(score[q, c])], ["query_id", "id", "score"])
+
+    return corpus.mapInArrow(run, "query_id long, id long, score double")
 
 
 def term_counts(texts: DataFrame, key: str, terms: Column) -> DataFrame:
@@ -81,10 +98,13 @@ def term_counts(texts: DataFrame, key: str, terms: Column) -> DataFrame:
     return texts.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def sparse_scores(query_terms: DataFrame, doc_terms: DataFrame) -> DataFrame:
-    """(query_id, id, dot, shared): only documents that share a term with a query."""
+def sparse_scores(query_terms: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, id, dot, shared) of the documents (id, terms) that share a term with a query (query_id, term, n). Terms that
+    no query has are left out before anything is shuffled."""
     q = query_terms.select("query_id", "term", F.col("n").alias("qn"))
-    return doc_terms.join(small(q, 200_000), "term").groupBy("query_id", "id").agg(F.sum(F.col("qn") * F.col("n")).alias("dot"), F.count(F.lit(1)).alias("shared"))
+    met = docs.select("id", F.explode("terms").alias("term")).join(small(q, 200_000), "term")
+    each = met.groupBy("query_id", "id", "term").agg((F.max("qn") * F.count(F.lit(1))).alias("part"))
+    return each.groupBy("query_id", "id").agg(F.sum("part").alias("dot"), F.count(F.lit(1)).alias("shared"))
 
 
 def fuse(legs: list[DataFrame], k: int, constant: int = 2) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folioq.functions import text as T
 from folioq.operators import evidence as E
@@ -21,10 +22,9 @@ def candidates(spark, sf_dir) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     image, seven = F.col("id") % 5 == 4, F.col("id") % 7
     kind = F.when(image, "").when(seven == 0, "table_text").when(seven == 1, "shloka").when(seven == 2, "page_bridge").otherwise("paragraph")
-    c = fused_hits(spark, sf_dir).join(docs, "id").join(asked, "query_id").withColumn("intent", intent)
-    top = F.max(F.when(F.col("rank") == 1, F.col("id")))
-    first = fused_hits(spark, sf_dir).groupBy("query_id").agg(top.alias("top"))
-    return c.join(first, "query_id").select(
+    top = F.max(F.when(F.col("rank") == 1, F.col("id"))).over(Window.partitionBy("query_id"))
+    c = fused_hits(spark, sf_dir).withColumn("top", top).join(docs, "id").join(asked, "query_id").withColumn("intent", intent)
+    return c.select(
         "query_id", "id", "rank", F.round(F.col("score") - 0.3, 6).alias("score"), F.when(image, "image").otherwise("text").alias("kind"), kind.alias("chunk_type"), "text",
         F.when(image, F.concat(F.lit("Figure "), F.col("id").cast("string"))).alias("caption"), F.concat(F.lit("S"), (F.col("id") % 3).cast("string")).alias("section"),
         F.when(image & (F.col("id") % 2 == 0), F.concat(F.lit("u"), F.col("id").cast("string"))).alias("url"), F.when(kind == "table_text", (F.col("id") % 4).cast("int")).otherwise(0).alias("table_rows"),

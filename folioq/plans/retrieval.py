@@ -6,7 +6,7 @@ for a learned sparse model: how often a keyword occurs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioq.functions import text as T
@@ -88,15 +88,15 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id
 SELECT query_id, id, score, rank FROM r WHERE rank <= 6"""
 
 
-def _terms(spark, sf_dir, name: str, key: str, to: str) -> DataFrame:
-    t = table(spark, sf_dir, name).select(F.col(key).alias(to), "text")
-    low = F.lower(F.coalesce("text", F.lit("")))
-    terms = F.filter(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: (F.length(w) >= 3) & ~w.isin(T.STOPWORDS))
-    return R.term_counts(t, to, terms)
+def terms(text) -> Column:
+    """The words of a text that count for the lexical leg."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return F.filter(found, lambda w: (F.length(w) >= 3) & ~w.isin(T.STOPWORDS))
 
 
 def _scores(spark, sf_dir) -> DataFrame:
-    return R.sparse_scores(_terms(spark, sf_dir, "benchmark", "item_id", "query_id"), _terms(spark, sf_dir, "documents", "doc_id", "id"))
+    asked = R.term_counts(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id", terms(F.col("text")))
+    return R.sparse_scores(asked, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), terms(F.col("text")).alias("terms")))
 
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
