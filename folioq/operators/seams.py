@@ -37,12 +37,54 @@ def overlap_scorer(query: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([one(q, t) for q, t in zip(query, text, strict=True)], dtype="float64")
 
 
-def scored(pairs: DataFrame, scorer: Scorer, query: str = "query", text: str = "text") -> DataFrame:
-    """`pairs` with the scorer's `score`, batch by batch."""
+#: Words of a text that a scorer sees.
+SEEN = 320
+
+
+def scored(pairs: DataFrame, scorer: Scorer, query: str = "query", text: str = "text", words: int = SEEN) -> DataFrame:
+    """`pairs` with the scorer's `score`, batch by batch; it sees the first `words` words of a text, as such models do."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(score=scorer(frame[query], frame[text]))
+            yield frame.assign(score=scorer(frame[query], frame[text].map(lambda t: " ".join((t or "").split()[:words]))))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
     return pairs.mapInPandas(run, f"{schema}, score double")
+
+
+def embedded(texts: DataFrame, embedder: Embedder, text: str = "text") -> DataFrame:
+    """`texts` with the embedder's `vec`, batch by batch. Blank texts have no vector and are dropped; equal ones can be embedded once
+    by way of ingest.embed_once."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(vec=embedder(frame[text]))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields)
+    return texts.where(f"trim({text}) != ''").mapInPandas(run, f"{schema}, vec array<double>")
+
+
+def written(prompts: DataFrame, writer: Writer, prompt: str = "prompt") -> DataFrame:
+    """`prompts` with the writer's `answer`, batch by batch."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(answer=writer(frame[prompt]))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields)
+    return prompts.mapInPandas(run, f"{schema}, answer string")
+
+
+def letter_embedder(text: pd.Series) -> pd.Series:
+    """Shares of the letters a to z: a stand-in that depends on the text alone."""
+
+    def one(t: str) -> list[float]:
+        low = t.lower()
+        return [round(low.count(chr(97 + k)) / len(low), 6) for k in range(26)]
+
+    return text.map(one)
+
+
+def quoting_writer(prompt: pd.Series) -> pd.Series:
+    """Answers with the prompt's last line: a stand-in."""
+    return prompt.map(lambda p: (p or "").strip().rsplit("\n", 1)[-1])
