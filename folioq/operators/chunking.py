@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window
 
 from folioq.functions import text as T
@@ -13,32 +11,21 @@ from folioq.functions import text as T
 TARGET, CAP, OVERLAP = 180, 300, 40
 
 
-def group_of(kinds: list, sizes: list, target: int = TARGET, cap: int = CAP) -> list[int]:
-    """Number of the chunk that each unit of a page goes to. Verses and captions stand alone; rows and prose don't mix; a
-    unit that would pass the cap opens a chunk without being held against the target."""
-    out, group, held, row_before = [], 0, 0, False
-    for kind, size in zip(kinds, sizes, strict=True):
-        if kind in ("caption", "shloka"):
-            group, held = group + 1, 0
-        else:
-            if held and (kind == "table_row") != row_before:
-                held = 0
-            row_before = kind == "table_row"
-            if held + size > cap:
-                group, held = group + 1, size
-            else:
-                if not held:
-                    group += 1
-                held += size
-                if held >= target:
-                    held = 0
-        out.append(group)
-    return out
-
-
-@F.pandas_udf(ArrayType(IntegerType()))
-def _groups(kinds: pd.Series, sizes: pd.Series) -> pd.Series:
-    return pd.Series([group_of(list(k), list(s)) for k, s in zip(kinds, sizes, strict=True)], dtype=object)
+def group_numbers(units: Column, target: int = TARGET, cap: int = CAP) -> Column:
+    """Number of the chunk that each unit (an ordered array of structs with kind and n) of a page goes to. Verses and captions
+    stand alone; rows and prose don't mix; a unit that would pass the cap opens a chunk without being held against the
+    target. The fold is sequential by nature; it runs over one page's units."""
+    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("held"), F.lit(False).alias("row"), F.array().cast("array<int>").alias("out"))
+
+    def step(s: Column, u: Column) -> Column:
+        alone, row = u["kind"].isin("caption", "shloka"), u["kind"] == "table_row"
+        held = F.when((s["held"] > 0) & (row != s["row"]), 0).otherwise(s["held"])
+        over = held + u["n"] > cap
+        chunk = s["chunk"] + F.when(alone | over | (held == 0), 1).otherwise(0)
+        total = F.when(alone, 0).when(over, u["n"]).when(held + u["n"] >= target, 0).otherwise(held + u["n"])
+        return F.struct(chunk.alias("chunk"), total.cast("int").alias("held"), F.when(alone, s["row"]).otherwise(row).alias("row"), F.concat(s["out"], F.array(chunk)).alias("out"))
+
+    return F.aggregate(units, start, step, lambda s: s["out"])
 
 
 def pack(units: DataFrame) -> DataFrame:
@@ -46,9 +33,7 @@ def pack(units: DataFrame) -> DataFrame:
     kept = units.where(~F.col("kind").isin("noise", "label"))
     fact = F.struct("reading_order", "kind", T.word_count(F.col("text")).alias("n"), "text")
     pages = kept.groupBy("book", "page_number", "page_id").agg(F.array_sort(F.collect_list(fact)).alias("u"))
-    pick = lambda name: F.transform("u", lambda x: x[name])
-    # Only kinds and sizes pass through Python; the fold is sequential by nature.
-    numbered = pages.withColumn("g", _groups(pick("kind"), pick("n")))
+    numbered = pages.withColumn("g", group_numbers(F.col("u")))
     each = numbered.select("book", "page_number", "page_id", "u", "g", F.explode(F.array_distinct("g")).alias("chunk"))
     own = F.transform(F.filter(F.arrays_zip("u", "g"), lambda x: x["g"] == F.col("chunk")), lambda x: x["u"])
     one = each.select("book", "page_number", "page_id", "chunk", own.alias("m"))

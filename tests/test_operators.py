@@ -80,11 +80,15 @@ def test_filters_drop_blanks_and_pass_missing_fields(spark):
     assert ids(R.payload_filter(must_not={"t": ["decorative"]})) == [1, 3]
 
 
-def test_packing_conserves_words_and_keeps_verses_apart():
+def test_packing_conserves_words_and_keeps_verses_apart(spark):
+    def group_of(kinds, sizes):
+        df = spark.createDataFrame([(list(zip(kinds, sizes, strict=True)),)], "u array<struct<kind:string,n:int>>")
+        return df.select(C.group_numbers(F.col("u"))).first()[0]
+
     kinds = ["paragraph"] * 3 + ["shloka"] + ["table_row"] * 2 + ["paragraph"] * 2
-    assert C.group_of(kinds, [100, 100, 50, 10, 5, 5, 290, 20]) == [1, 1, 2, 3, 4, 4, 5, 6]
-    assert C.group_of(["paragraph"] * 3, [400, 10, 10]) == [1, 2, 2]
-    assert C.group_of(["paragraph"] * 2, [180, 1]) == [1, 2]
+    assert group_of(kinds, [100, 100, 50, 10, 5, 5, 290, 20]) == [1, 1, 2, 3, 4, 4, 5, 6]
+    assert group_of(["paragraph"] * 3, [400, 10, 10]) == [1, 2, 2]
+    assert group_of(["paragraph"] * 2, [180, 1]) == [1, 2]
 
 
 def test_word_windows(spark):
