@@ -363,3 +363,69 @@ def point_id(raw: Column, kind: str) -> Column:
     plain = F.when(bare.rlike("^[0-9a-f]{32}$"), bare).otherwise(made)
     dashed = F.concat_ws("-", *(F.substring(plain, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
     return F.when(name != "", dashed)
+
+
+def too_little_text(text: Column) -> Column:
+    """Under 40 characters, or under 20 letters and digits: what a scanned page gives."""
+    flat = F.trim(F.coalesce(text, F.lit("")))
+    return (F.length(flat) < 40) | (F.length(F.regexp_replace(flat, r"[^\p{L}\p{N}]", "")) < 20)
+
+
+def is_meaningful(token: Column) -> Column:
+    """A token with a letter and two word characters that holds no mojibake."""
+    return F.coalesce(token, F.lit("")).rlike(f"^{_MEANINGFUL.removeprefix('(?<!\\S)')}$")
+
+
+def is_weird_symbol(char: Column) -> Column:
+    """A character that is no letter, digit, mark, white space or ordinary punctuation."""
+    return (F.length(char) == 1) & ~char.rlike(r"^[\p{L}\p{N}\p{M}\s.,:;!?()\[\]{}'\"/\-_%+&*#°₹$=|।॥]$")
+
+
+def has_indic(token: Column) -> Column:
+    return F.coalesce(token, F.lit("")).rlike(f"[{INDIC}]")
+
+
+def is_blank_like(text: Column, kind: Column, heavy: Column) -> Column:
+    """A page with nothing to read: blank by its type, or without a large image and empty, a few marks, or one or two short words."""
+    flat = compact(F.coalesce(text, F.lit("")))
+    return F.when(kind == "blank", True).when(heavy, False).otherwise((flat == "") | ((F.length(flat) <= 24) & ~flat.rlike(r"\p{L}")) | ((F.length(flat) <= 8) & (word_count(flat) <= 2)))
+
+
+def clean_structured(text: Column) -> Column:
+    """White space as one blank, bars with one on either side."""
+    return compact(F.regexp_replace(compact(F.coalesce(text, F.lit(""))), r"\s*\|\s*", " | "))
+
+
+def clean_cell(value: Column) -> Column:
+    flat = F.trim(F.coalesce(value, F.lit("")))
+    return F.when(F.lower(flat) == "nan", "").otherwise(compact(flat))
+
+
+def safe_path(value: Column) -> Column:
+    """A file name: marks that file systems reserve become underscores."""
+    flat = F.regexp_replace(F.regexp_replace(F.coalesce(value, F.lit("")), r'[<>:"/\\|?*]+', "_"), r"^\s+|\s+$", "")
+    bare = F.regexp_replace(flat, r"^[ .]+|[ .]+$", "")
+    return F.when(bare == "", "untitled").otherwise(bare)
+
+
+def folder(value: Column, fallback: str) -> Column:
+    """The parts of a path as slugs; `fallback` if none is left."""
+    parts = F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), "/"), slug), lambda p: p != "")
+    return F.when(F.size(parts) > 0, F.array_join(parts, "/")).otherwise(fallback)
+
+
+def public_id(root: Column, doc_id: Column, source: Column, page: Column, figure: Column) -> Column:
+    """root/document/page_N/figure_N, the document by its id, or by its file's name."""
+    stem = F.regexp_replace(F.regexp_extract(F.coalesce(source, F.lit("")), r"[^/]*$", 0), r"(?<=.)\.[^.]*$", "")
+    name = F.coalesce(F.nullif(slug(F.coalesce(doc_id, F.lit(""))), F.lit("")), F.nullif(slug(stem), F.lit("")), F.lit("unknown_source"))
+    number = lambda c: F.greatest(F.lit(1), F.coalesce(c, F.lit(1))).cast("string")
+    return F.concat(root, F.lit("/"), name, F.lit("/page_"), number(page), F.lit("/figure_"), number(figure))
+
+
+def cleaned_list(values: Column) -> Column:
+    """Trimmed values in order, each once, without blank ones."""
+    return F.array_distinct(F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.trim(F.coalesce(v, F.lit("")))), lambda v: v != ""))
+
+
+def cleaned_int(value: Column) -> Column:
+    return F.trim(value).try_cast("int")

@@ -172,9 +172,10 @@ def suppress(boxes: DataFrame, most: float = 0.60) -> DataFrame:
 
 
 def dedupe_placements(placements: DataFrame, near: float = 0.5) -> DataFrame:
-    """Placements without those that repeat an earlier one (by id) of the same page and xref within `near` points."""
-    a, b = placements.alias("a"), placements.select("page_id", "xref", "id", "x0", "y0", "x1", "y1").alias("b")
-    same = (F.col("a.page_id") == F.col("b.page_id")) & (F.col("a.xref") == F.col("b.xref")) & (F.col("b.id") < F.col("a.id"))
-    for c in ("x0", "y0", "x1", "y1"):
-        same = same & (F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) <= near)
-    return a.join(b, same, "left_anti")
+    """Placements (by id) without those that repeat one kept before, of the same page and xref, within `near` points. The fold runs
+    over one page's placements of an xref."""
+    fact = F.struct("id", "x0", "y0", "x1", "y1")
+    groups = placements.groupBy("page_id", "xref").agg(F.array_sort(F.collect_list(fact)).alias("p"))
+    close = lambda a, b: F.forall(F.array(*(F.abs(a[c] - b[c]) <= near for c in ("x0", "y0", "x1", "y1"))), lambda x: x)
+    kept = F.aggregate("p", F.slice("p", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda k: close(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
+    return groups.select("page_id", "xref", F.inline(kept))

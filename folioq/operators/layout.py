@@ -6,10 +6,8 @@ runs over a book sees one row a page.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType
 from pyspark.sql.window import Window, WindowSpec
 
 from folioq.functions import text as T
@@ -71,30 +69,21 @@ def sections(units: DataFrame) -> DataFrame:
     return out.drop("_row", "_heavy", "_title", "_carried")
 
 
-@F.pandas_udf(ArrayType(BooleanType()))
-def _promoted(anchor: pd.Series, row: pd.Series, ends: pd.Series) -> pd.Series:
-    """The countdown of a page: an anchor announces 12 units, prose about methods ends them."""
-    out = []
-    for a, r, e in zip(anchor, row, ends, strict=True):
-        left, page = 0, []
-        for is_anchor, is_row, is_end in zip(a, r, e, strict=True):
-            page.append(bool(left > 0 and not is_anchor and is_row))
-            if is_anchor:
-                left = max(left, 12)
-            elif left > 0:
-                left = 0 if is_end else left - 1
-        out.append(page)
-    return pd.Series(out, dtype=object)
-
-
 def promote_rows(units: DataFrame) -> DataFrame:
-    """Add `promoted`: units that a table's anchor above makes rows."""
+    """Add `promoted`: units that a table's anchor above makes rows; only paragraphs and rows, where units have a kind. An anchor
+    announces 12 units, prose about methods ends them. The fold runs over one page's units."""
     t = F.col("text")
-    facts = F.struct("reading_order", T.is_table_anchor(t).alias("a"), T.is_contextual_row(t).alias("r"), T.is_context_break(t).alias("e"))
+    fits = F.coalesce(F.col("kind").isin("paragraph", "table_row"), F.lit(True)) if "kind" in units.columns else F.lit(True)
+    facts = F.struct("reading_order", T.is_table_anchor(t).alias("a"), (T.is_contextual_row(t) & fits).alias("r"), T.is_context_break(t).alias("e"))
     pages = units.groupBy("page_id").agg(F.array_sort(F.collect_list(facts)).alias("f")).where(F.exists("f", lambda x: x["a"]))
-    pick = lambda name: F.transform("f", lambda x: x[name])
-    made = pages.select("page_id", F.arrays_zip(pick("reading_order").alias("reading_order"), _promoted(pick("a"), pick("r"), pick("e")).alias("promoted")).alias("z"))
-    flags = made.select("page_id", F.inline("z"))
+    start = F.struct(F.lit(0).alias("left"), F.array().cast("array<int>").alias("rows"))
+
+    def step(s: Column, u: Column) -> Column:
+        left = F.when(u["a"], F.greatest(s["left"], F.lit(12))).when(s["left"] <= 0, 0).when(u["e"], 0).otherwise(s["left"] - 1)
+        promoted = (s["left"] > 0) & ~u["a"] & u["r"]
+        return F.struct(left.cast("int").alias("left"), F.when(promoted, F.concat(s["rows"], F.array(u["reading_order"].cast("int")))).otherwise(s["rows"]).alias("rows"))
+
+    flags = pages.select("page_id", F.explode(F.aggregate("f", start, step, lambda s: s["rows"])).alias("reading_order"), F.lit(True).alias("promoted"))
     return units.join(flags, ["page_id", "reading_order"], "left").withColumn("promoted", F.coalesce("promoted", F.lit(False)))
 
 

@@ -164,24 +164,43 @@ def _placements(spark, sf_dir) -> DataFrame:
 
 
 def placement_dedupe(spark, sf_dir):
-    p = _placements(spark, sf_dir).withColumn("x0", F.floor(F.col("x0") / 200) * 200.0).withColumn("x1", F.col("x0") + 40).withColumn("y0", F.floor(F.col("y0") / 60) * 60.0).withColumn("y1", F.col("y0") + 20)
+    """Placements of every page without repeats. Boxes of an xref creep by 0.4 points, so that the first kept one decides."""
+    creep = F.col("id") * 0.4
+    p = _placements(spark, sf_dir).withColumn("xref", F.col("xref") % 3).withColumns({"x0": creep, "x1": creep + 40, "y0": F.lit(5.0), "y1": F.lit(25.0)})
     return I.dedupe_placements(p).select("page_id", "id", "xref")
 
 
 PLACEMENT_DEDUPE = f"""
-WITH {UNITS}, p AS (SELECT page_id, CAST(reading_order AS BIGINT) AS id, CAST({_N} AS INTEGER) AS xref, floor((x1 * 7) % 400 / 200) AS a, floor(reading_order * 3.0 / 60) AS b FROM units)
-SELECT page_id, id, xref FROM p QUALIFY row_number() OVER (PARTITION BY page_id, xref, a, b ORDER BY id) = 1"""
+WITH {UNITS}, p AS (SELECT page_id, CAST({_N} % 3 AS INTEGER) AS xref, list([struct_pack(id := CAST(reading_order AS BIGINT), x := reading_order * 0.4::DOUBLE)] ORDER BY reading_order) AS l FROM units GROUP BY ALL),
+k AS (SELECT page_id, xref, list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda e: abs(e.x - x[1].x) <= 0.5::DOUBLE)) > 0 THEN acc ELSE acc || x END) AS kept FROM p)
+SELECT page_id, unnest(kept).id AS id, xref FROM k"""
+
+_PLACED = f"placed AS (SELECT page_id, CAST(reading_order AS BIGINT) AS id, (x1 * 7) % 400 AS x0, reading_order * 3.0::DOUBLE AS y0, (x1 * 7) % 400 + 40 AS x1, reading_order * 3.0::DOUBLE + 20 AS y1, x1 % 10 AS score, row_number() OVER (PARTITION BY page_id ORDER BY reading_order) - 1 AS at_ FROM units)"
 
 
 def placement_groups(spark, sf_dir):
-    """Connected placements of every page (no SQL: reachability)."""
+    """Connected placements of every page."""
     return I.components(_placements(spark, sf_dir))
 
 
+PLACEMENT_GROUPS = f"""
+WITH RECURSIVE {UNITS}, {_PLACED},
+near_ AS (SELECT a.page_id, a.at_ AS a, b.at_ AS b FROM placed a JOIN placed b ON a.page_id = b.page_id AND a.x0 - 10 <= b.x1 + 10 AND a.x1 + 10 >= b.x0 - 10 AND a.y0 - 10 <= b.y1 + 10 AND a.y1 + 10 >= b.y0 - 10),
+reached AS (SELECT page_id, at_ AS a, at_ AS b FROM placed UNION SELECT r.page_id, r.a, n.b FROM reached r JOIN near_ n ON n.page_id = r.page_id AND n.a = r.b)
+SELECT r.page_id, p.id, min(r.b) AS component FROM reached r JOIN placed p ON p.page_id = r.page_id AND p.at_ = r.a GROUP BY ALL"""
+
+
 def figure_suppression(spark, sf_dir):
-    """Boxes that stay after greedy suppression (no SQL: each choice depends on those before)."""
+    """Boxes that stay after greedy suppression."""
     return I.suppress(_placements(spark, sf_dir))
 
 
+FIGURE_SUPPRESSION = f"""
+WITH {UNITS}, {_PLACED},
+p AS (SELECT page_id, list([struct_pack(id := id, x0 := x0, y0 := y0, x1 := x1, y1 := y1)] ORDER BY score DESC, id) AS l FROM placed GROUP BY page_id),
+k AS (SELECT page_id, list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda e: greatest(0, least(e.x1, x[1].x1) - greatest(e.x0, x[1].x0)) * greatest(0, least(e.y1, x[1].y1) - greatest(e.y0, x[1].y0))
+  / (1600 - greatest(0, least(e.x1, x[1].x1) - greatest(e.x0, x[1].x0)) * greatest(0, least(e.y1, x[1].y1) - greatest(e.y0, x[1].y0))) >= 0.60::DOUBLE)) > 0 THEN acc ELSE acc || x END) AS kept FROM p)
+SELECT page_id, unnest(kept).id AS id FROM k"""
+
 QUERIES = {f.__name__: f for f in (figure_links, candidate_rows, page_route, page_cache, table_rows, stream_frames, text_slots, page_boxes, request_checks, placement_dedupe, placement_groups, figure_suppression)}
 ORACLE_SQL = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}

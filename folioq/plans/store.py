@@ -30,13 +30,12 @@ SELECT * FROM b UNION ALL SELECT vec_id AS id, label::VARCHAR AS type, 0 AS vers
 
 
 def delete_counts(spark, sf_dir):
-    """What a deletion of each source takes away and leaves."""
-    docs = table(spark, sf_dir, "documents")
-    total = docs.agg(F.count(F.lit(1)).alias("total"))
-    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("deleted")).crossJoin(F.broadcast(total)).select("source", "deleted", (F.col("total") - F.col("deleted")).alias("kept"))
+    """What stays of each source, and how many points went, when the points of two sources are deleted."""
+    kept, gone = S.delete(table(spark, sf_dir, "documents"), F.col("source").isin("src3", "src7"))
+    return kept.groupBy("source").agg(F.count(F.lit(1)).alias("kept")).crossJoin(F.broadcast(gone))  # one row
 
 
-DELETE_COUNTS = "SELECT source, count(*) AS deleted, (SELECT count(*) FROM documents) - count(*) AS kept FROM documents GROUP BY source"
+DELETE_COUNTS = """SELECT source, count(*) AS kept, (SELECT count(*) FROM documents WHERE source IN ('src3', 'src7')) AS deleted FROM documents WHERE source NOT IN ('src3', 'src7') OR source IS NULL GROUP BY source"""
 
 
 def scroll_page(spark, sf_dir):

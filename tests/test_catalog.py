@@ -11,8 +11,8 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
-def test_every_query_but_two_has_sql():
-    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"placement_groups", "figure_suppression"} and set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
+def test_every_query_but_one_has_sql():
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"ocr_lines"} and set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
