@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from folioq.functions import text as T
 
@@ -70,15 +69,15 @@ def verse_number(text: Column) -> Column:
 def bridges(chunks: DataFrame, cap: int = CAP) -> DataFrame:
     """(book, first, second, text): consecutive chunks (book, page_number, page_id, chunk, chunk_type, section, text) on
     consecutive pages whose text runs on."""
-    order = Window.partitionBy("book").orderBy("page_number", "page_id", "chunk")
-    nxt = {c: F.lead(c).over(order) for c in ("page_number", "page_id", "chunk", "chunk_type", "section", "text")}
-    # Only a page's first and last chunk can take part, so the book's window sees two rows a page.
-    ends = Window.partitionBy("page_id")
-    edge = chunks.withColumn("_a", F.min("chunk").over(ends)).withColumn("_b", F.max("chunk").over(ends)).where("chunk = _a OR chunk = _b")
-    pair = edge.select("*", *(v.alias(f"n_{c}") for c, v in nxt.items()))
+    # A page's last chunk meets the first one of the page after by a join; no window runs over the book.
+    facts = ("page_id", "chunk", "chunk_type", "section", "text")
+    at, fact = F.struct("page_id", "chunk"), F.struct(*facts)
+    ends = chunks.groupBy("book", "page_number").agg(F.max_by(fact, at).alias("e"), F.min_by(fact, at).alias("f"))
+    last = ends.select("book", "page_number", *(F.col(f"e.{c}").alias(c) for c in facts))
+    following = ends.select("book", (F.col("page_number") - 1).alias("page_number"), *(F.col(f"f.{c}").alias(f"n_{c}") for c in facts))
+    pair = last.join(following, ["book", "page_number"])
     runs_on = (
-        (F.col("n_page_number") - F.col("page_number") == 1)
-        & ~F.col("chunk_type").isin("image_caption", "table_text")
+        ~F.col("chunk_type").isin("image_caption", "table_text")
         & ~F.col("n_chunk_type").isin("image_caption", "table_text", "section_intro")
         & ~F.coalesce(F.col("section") != F.col("n_section"), F.lit(False))
         & (F.col("text") != "") & (F.col("n_text") != "") & ~F.col("text").rlike("[.:?!]$")

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from folioq.functions import text as T
+from folioq.operators.retrieval import small
+
+#: Pages of a book that a task sees together where something is carried through the book.
+PAGES = 500
+
 
 def page() -> WindowSpec:
     """Rows of one page."""
@@ -35,7 +40,7 @@ def mark_noise(units: DataFrame, strong: int = 2, generic: int = 3) -> DataFrame
         F.count_distinct(F.when(F.col("_kind") == "strong", F.col("page_id"))).alias("s"), F.count_distinct(F.when(F.col("_kind") == "generic", F.col("page_id"))).alias("g")
     )
     repeated = seen.where((F.col("s") >= strong) | (F.col("g") >= generic)).select("book", "_norm", F.lit(True).alias("_repeated"))
-    out = u.join(repeated, ["book", "_norm"], "left").withColumn("noise", F.coalesce(F.col("_repeated"), F.lit(False)) | F.col("_number"))
+    out = u.join(small(repeated, 200_000), ["book", "_norm"], "left").withColumn("noise", F.coalesce(F.col("_repeated"), F.lit(False)) | F.col("_number"))
     return out.drop("_h", "_norm", "_kind", "_number", "_repeated")
 
 
@@ -62,8 +67,15 @@ def sections(units: DataFrame) -> DataFrame:
     u = u.withColumn("kind", F.when(F.col("_row"), "table_row").when(heading, "heading").otherwise("paragraph"))
     u = u.withColumn("_title", F.when(F.col("kind") == "heading", F.col("text")))
     pages = u.groupBy("book", "page_number", "page_id").agg(F.max_by(F.struct("_title"), F.when(F.col("_title").isNotNull(), F.col("reading_order"))).alias("t"))
-    before = Window.partitionBy("book").orderBy("page_number", "page_id").rowsBetween(Window.unboundedPreceding, -1)
-    carried = pages.select("page_id", F.last("t._title", ignorenulls=True).over(before).alias("_carried"))
+    # A book's pages go in blocks: the latest heading of the blocks before, then that of the block's pages before.
+    pages = pages.withColumn("_block", F.floor(F.col("page_number") / PAGES))
+    order = F.when(F.col("t._title").isNotNull(), F.struct("page_number", "page_id"))
+    blocks = pages.groupBy("book", "_block").agg(F.max_by("t._title", order).alias("_last"))
+    earlier = Window.partitionBy("book").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("book", "_block", F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
+    before = Window.partitionBy("book", "_block").orderBy("page_number", "page_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = pages.select("book", "_block", "page_id", F.last("t._title", ignorenulls=True).over(before).alias("_within"))
+    carried = within.join(blocks, ["book", "_block"]).select("page_id", F.coalesce("_within", "_before").alias("_carried"))
     so_far = page().orderBy("reading_order").rowsBetween(Window.unboundedPreceding, 0)
     out = u.join(carried, "page_id").withColumn("section", F.coalesce(F.last("_title", ignorenulls=True).over(so_far), "_carried"))
     return out.drop("_row", "_heavy", "_title", "_carried")

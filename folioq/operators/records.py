@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from folioq.functions import text as T
 from folioq.operators import chunking as C
+from folioq.operators.layout import PAGES
 from folioq.operators.retrieval import top
 
 #: Routes and engines whose text was recognised rather than read.
@@ -48,8 +49,13 @@ def chunk_records(units: DataFrame) -> DataFrame:
     """Chunks with `ordinal`, counted from 0 through the book, and `chunk_id` book:pPAGE-PAGE:type:ordinal."""
     chunks = page_chunks(units)
     sizes = chunks.groupBy("book", "page_number", "page_id").agg(F.count(F.lit(1)).alias("chunks"))
-    before = Window.partitionBy("book").orderBy("page_number", "page_id").rowsBetween(Window.unboundedPreceding, -1)
-    start = sizes.select("page_id", F.coalesce(F.sum("chunks").over(before), F.lit(0)).alias("_start"))
+    # Sums of the blocks of pages before, then of the block's pages before.
+    sizes = sizes.withColumn("_block", F.floor(F.col("page_number") / PAGES))
+    earlier = Window.partitionBy("book").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sizes.groupBy("book", "_block").agg(F.sum("chunks").alias("_n")).select("book", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    before = Window.partitionBy("book", "_block").orderBy("page_number", "page_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = sizes.select("book", "_block", "page_id", F.coalesce(F.sum("chunks").over(before), F.lit(0)).alias("_within"))
+    start = within.join(blocks, ["book", "_block"]).select("page_id", (F.col("_before") + F.col("_within")).alias("_start"))
     c = chunks.join(start, "page_id").withColumn("ordinal", F.col("_start") + F.col("n")).drop("_start")
     page = F.col("page_number").cast("string")
     verse = F.col("chunk_type") == "shloka"

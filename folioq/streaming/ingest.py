@@ -18,21 +18,35 @@ def read_points(spark: SparkSession, folder: str, schema: str, files_a_batch: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
 
 
+#: Buckets of a collection by its key's hash.
+BUCKETS = 64
+
+
 def keep_collection(points: DataFrame, folder: str, key: str, order: str, checkpoint: str) -> StreamingQuery:
-    """Keep a collection in versioned folders `folder`/v=<batch + 1>, each written whole; the greatest version counts."""
+    """Keep a collection in folders `folder`/_v=<batch + 1>/_bucket=<n>: a batch writes anew the buckets that its keys fall in, and
+    only these. Of each bucket the greatest version counts."""
 
     def take(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = latest(batch, key, [order])
-        merged = upsert(spark.read.parquet(f"{folder}/v={number}"), fresh, key) if number else fresh
-        merged.write.mode("overwrite").parquet(f"{folder}/v={number + 1}")
+        spark, bucket = batch.sparkSession, F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+        fresh = latest(batch, key, [order]).withColumn("_bucket", bucket)
+        touched = [r._bucket for r in fresh.select("_bucket").distinct().collect()]  # BUCKETS at most
+        if touched:
+            stored = _stored(spark, folder, number).where(F.col("_bucket").isin(touched)) if number else None
+            merged = fresh if stored is None else upsert(stored, fresh, key)
+            merged.write.mode("overwrite").partitionBy("_bucket").parquet(f"{folder}/_v={number + 1}")
 
     return points.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _stored(spark: SparkSession, folder: str, version: int) -> DataFrame:
+    every = spark.read.parquet(folder).where(F.col("_v") <= version)
+    newest = every.groupBy("_bucket").agg(F.max("_v").alias("_v"))  # a row a bucket
+    return every.join(F.broadcast(newest), ["_bucket", "_v"], "left_semi").drop("_v")
+
+
 def current(spark: SparkSession, folder: str, version: int) -> DataFrame:
     """The collection as of a version."""
-    return spark.read.parquet(f"{folder}/v={version}")
+    return _stored(spark, folder, version).drop("_bucket")
 
 
 def event_counts(events: DataFrame, late: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
