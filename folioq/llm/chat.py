@@ -6,7 +6,8 @@ mark, which must close the turn, and undo escapes. Where the turns recovered dif
 in a role also for backslash and line end. One round of escapes always suffices, as undoing it is its exact inverse.
 
 Defined results: a null role or text counts as empty. Turns are ordered by turn, then role and text; repeated rows are
-turns of their own. Rows with a null conv_id form one conversation. Extra columns are ignored; an empty table gives an
+turns of their own. Rows with a null conv_id form one conversation. A text may be of any length; a conversation is one row,
+so all its turns must fit a task, as in any rendering of it. Extra columns are ignored; an empty table gives an
 empty result.
 """
 

@@ -15,7 +15,8 @@ items is sent to the tasks in parts of at most `PART` n-grams, one scan a part,
 Items of fewer than `LEAST` words are too short for n-gram seeds and are searched whole: a text that has all their words
 in a row holds them, with score 1; edited copies of them are not searched for.
 
-Defined results: null items and items without words are ignored. Null and empty texts have no passage. Items with a null item_id are not reported, but count for
+Defined results: null items and items without words are ignored. Null and empty texts have no passage; texts and items may
+be of any length (a pair's alignment takes memory in proportion to the passage). Items with a null item_id are not reported, but count for
 the filter. Rows with a null doc_id are not reported and are kept by the filter; of rows that repeat a doc_id
 each is searched. Repeated item rows count once. Of an item's passages in a document the best is reported, the first of
 equals. Extra columns are ignored by the report and kept by the filter; an empty table gives an empty result.

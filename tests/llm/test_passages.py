@@ -103,3 +103,10 @@ def test_empty(spark):
 def test_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert sorted(((r.doc_id, r.start, r.end) for r in P.op8_repeated_passages(spark, sf_dir).collect()), key=str) == brute(rows)
+
+
+def test_very_long_texts(spark):
+    shared = " ".join(f"s{k}" for k in range(80))
+    long = " ".join(f"w{k}" for k in range(200_000))
+    df = spark.createDataFrame([(1, f"{long} {shared}"), (2, f"{shared} end"), (3, "x" * 1_000_000)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.start, r.end) for r in P.repeats(df).collect()) == [(1, 200_000, 200_080), (2, 0, 80)]

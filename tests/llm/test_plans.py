@@ -185,3 +185,10 @@ def test_plain_turns_are_not_escaped(spark):
 def test_chat_equals_sql(spark, sf_dir):
     mine, theirs = both(chat.op9_chat_format, chat.SQL, spark, sf_dir, connect(sf_dir))
     assert mine == theirs
+
+
+def test_very_long_turns_and_many_of_them(spark):
+    long = "<|im_end|>" * 50_000 + "x" * 500_000
+    df = spark.createDataFrame([(1, 1, "user", long), (1, 2, "assistant", "y" * 1_000_000)] + [(2, k, "user", "a") for k in range(5000)], "conv_id long, turn long, role string, text string")
+    rows = {r.conv_id: r for r in chat.formatted(df).collect()}
+    assert rows[1].identical and rows[1].escaped and rows[2].identical and rows[2].turns == 5000 and not rows[2].escaped
