@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioq.llm._spark import map_arrow, shared_dir, stash, table
+from folioq.llm._spark import drop_stash, map_arrow, shared_dir, stash, table
 from folioq.llm._text import _GRAM as BASE
 from folioq.llm._text import grams, mix, range_hash, slices, words
 
@@ -302,8 +302,10 @@ def repeats(docs: DataFrame, large: int = LARGE) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").withColumn("row", _row_id())
     # Grouped with partial sums and joined, never windowed: an anchor in many documents is spread over tasks.
-    several = _anchored(docs).groupBy("anchor").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("anchor")
-    shared = stash(_anchored(docs).join(several, "anchor", "left_semi"), "anchors")
+    every = stash(_anchored(docs), "every")
+    several = every.groupBy("anchor").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("anchor")
+    shared = stash(every.join(several, "anchor", "left_semi"), "anchors")
+    drop_stash(spark, every)
     one = shared.groupBy("anchor", "segment").agg(F.min("row").alias("least"), F.max("row").alias("greatest"), F.min(F.struct("row", "place")).alias("r"))
     crowded = one.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large).select("anchor", F.lit(True).alias("large"))
     one = one.join(crowded, "anchor", "left").withColumn("large", F.coalesce("large", F.lit(False)))

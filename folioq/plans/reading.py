@@ -7,12 +7,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioq.functions import text as T
-from folioq.operators import layout as L
+from folioq.operators import geometry as G
+from folioq.operators import ingest as I
 from folioq.operators import reading as R
+from folioq.operators import retrieval as V
+from folioq.operators import seams
 from folioq.operators import store as S
+from folioq.plans import retrieval as P
 from folioq.plans._sql import SAMPLES, TEXTS, UNITS, compact, count, frame, values, words
 from folioq.plans.pages import _units
+from folioq.sources import corpus as C
 from folioq.sources.corpus import table, vectors
+from folioq.streaming.ingest import event_counts
 
 TOKENS = [(-1, "doṣa"), (-2, "Ã¤x"), (-3, "x!"), (-4, "--"), (-5, None), (-6, "a1"), (-7, "à¤®a"), (-8, "à³ok"), (-9, "दोष"), (-10, "¶"), (-11, "12"), (-12, "x"), (-13, "")]
 CELLS = [(-1, " nan "), (-2, "a |b|  c"), (-3, None), (-4, "NaN"), (-5, "  two   words "), (-6, "|")]
@@ -230,9 +236,86 @@ n AS (SELECT doc, count(*) FILTER (WHERE status = 'done') AS c, count(*) FILTER
 l AS (SELECT doc, max(seq) FILTER (WHERE status = 'complete') AS done, max(seq) FILTER (WHERE status = 'failed') AS failed FROM e GROUP BY doc)
 SELECT doc, CASE WHEN doc % 10 = 0 THEN 0 ELSE coalesce(c, 0) END AS completed, CASE WHEN doc % 10 = 0 THEN 0 ELSE coalesce(f, 0) END AS failed, doc % 10 <> 0 AND done IS NOT NULL AND done > coalesce(failed, -1) AS document_complete FROM l LEFT JOIN n USING (doc)"""
 
+HTML = [
+    (-1, "<p>x</p><table class='a'><caption>Table 1 <b>Doses</b></caption><tr><td>Table 1 Doses</td></tr><TR><th>name</th><th> dose </th></TR><tr><td>ghee\n</td><td>2 <i>ml</i></td></tr><tr></tr></table>"), (-2, "<table><tr><td>only</td></tr></table><table><tr><td>a</td><td></td></tr></table>"),
+    (-3, "no table"), (-4, None),
+]
+
+
+def html_tables(spark, sf_dir):
+    """Cells of every table, those of the pages and of fixtures."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "html").union(frame(spark, HTML, "page_id BIGINT, html VARCHAR"))
+    t = C.html_tables(pages)
+    return t.select("page_id", "table_id", "row", "caption", "header", F.array_join("cells", "|").alias("cells"))
+
+
+_PLAIN = r"trim(regexp_replace(regexp_replace({0}, '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+HTML_TABLES = rf"""
+WITH p AS (SELECT page_id, html FROM pages UNION ALL SELECT * FROM {values(HTML, "page_id BIGINT, html VARCHAR")}),
+t AS (SELECT page_id, unnest(x) AS body, unnest(range(len(x))) AS tab FROM (SELECT page_id, regexp_extract_all(html, '(?is)<table\b[^>]*>(.*?)</table>', 1) AS x FROM p)),
+r AS (SELECT page_id, tab, {_PLAIN.format(r"regexp_extract(body, '(?is)<caption\b[^>]*>(.*?)</caption>', 1)")} AS caption, unnest(y) AS tr, unnest(range(len(y))) AS row_ FROM (SELECT *, regexp_extract_all(body, '(?is)<tr\b[^>]*>(.*?)</tr>', 1) AS y FROM t)),
+c AS (SELECT *, list_transform(regexp_extract_all(tr, '(?is)<t[hd]\b[^>]*>(.*?)</t[hd]>', 1), lambda x: {_PLAIN.format("x")}) AS cells FROM r)
+SELECT page_id, 'p' || page_id || ':table:' || tab AS table_id, CAST(row_ AS INTEGER) AS "row", caption, regexp_matches(tr, '(?i)<th\b') AS header, array_to_string(cells, '|') AS cells FROM c
+WHERE len(cells) > 0 AND NOT (len(cells) = 1 AND cells[1] = caption)"""
+
+
+def text_vectors(spark, sf_dir):
+    """Questions embedded by the stand-in, each distinct one once; three of the components."""
+    asked = C.questions(table(spark, sf_dir, "conversations")).withColumnRenamed("query", "text")
+    v = I.embed_once(asked, lambda distinct: seams.embedded(distinct, seams.letter_embedder))
+    return v.select("query_id", *(F.round(F.element_at("vec", k + 1), 6).alias(f"c{k}") for k in (0, 4, 25)))
+
+
+_Q = compact("text")
+TEXT_VECTORS = "SELECT conv_id * 1000 + turn AS query_id, " + ", ".join(f"round((length({_Q}) - length(replace(lower({_Q}), '{c}', '')))::DOUBLE / length({_Q}), 6) AS c{k}" for k, c in ((0, "a"), (4, "e"), (25, "z"))) + f" FROM conversations WHERE role = 'user' AND {_Q} <> ''"
+
+
+def pair_cosine(spark, sf_dir):
+    """Cosine of each vector and the next one; every seventh pair has no second vector, every eleventh one of another length."""
+    v = vectors(table(spark, sf_dir, "embeddings"))
+    other = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec").alias("b"))
+    b = F.when(F.col("vec_id") % 7 == 0, None).when(F.col("vec_id") % 11 == 0, F.slice("b", 1, 5)).otherwise(F.col("b"))
+    return v.join(other, "vec_id").select("vec_id", F.round(V.cosine(F.col("vec"), b), 6).alias("cosine"))
+
+
+PAIR_COSINE = """
+SELECT a.vec_id, CASE WHEN a.vec_id % 7 = 0 OR a.vec_id % 11 = 0 THEN 0 ELSE round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) END AS cosine
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
+
+
+def filter_image_pages(spark, sf_dir):
+    """Figures on pages 3 to 9."""
+    i = P.images(spark, sf_dir).withColumnRenamed("page", "page_number")
+    return i.where(V.payload_filter(within=(3, 9))).select("image_id", "page_number")
+
+
+FILTER_IMAGE_PAGES = "SELECT 'v' || vec_id AS image_id, vec_id // 20 + 1 AS page_number FROM embeddings WHERE vec_id // 20 + 1 BETWEEN 3 AND 9"
+
+FONT = {"er": "<ER>", "e": "[E]", "the": "THE", "": "never"}
+
+
+def font_map(spark, sf_dir):
+    """Every text with a legacy font's letters replaced, longest first."""
+    d = table(spark, sf_dir, "documents").where("lang = 'en'")
+    return d.select("doc_id", F.md5(G.apply_font_map(F.col("text"), FONT).cast("binary")).alias("digest"))
+
+
+FONT_MAP = f"SELECT doc_id, md5({compact(P._norm("replace(replace(replace(text, 'the', 'THE'), 'er', '<ER>'), 'e', '[E]')"))}) AS digest FROM documents WHERE lang = 'en'"
+
+
+def event_windows(spark, sf_dir):
+    """Windows of five minutes by type of event, as the stream counts them."""
+    n = event_counts(table(spark, sf_dir, "events"))
+    return n.groupBy("event_type").agg(F.count(F.lit(1)).alias("windows"), F.max("n").alias("most"), F.sum("n").alias("total"))
+
+
+EVENT_WINDOWS = """
+WITH w AS (SELECT event_type, time_bucket(INTERVAL 5 MINUTE, ts) AS b, count(*) AS n FROM events GROUP BY ALL)
+SELECT event_type, count(*) AS windows, max(n) AS most, CAST(sum(n) AS BIGINT) AS total FROM w GROUP BY event_type"""
+
 QUERIES = {
     f.__name__: f for f in (
-        ocr_words, ocr_lines, parse_choice, unit_repair_order, figure_blocks, page_texts, contour_filter, figure_unions, text_checks, token_checks, cell_cleaner, public_names, filter_values, collection_info, point_rows, state_round_trip,
+        ocr_words, ocr_lines, parse_choice, unit_repair_order, figure_blocks, page_texts, contour_filter, figure_unions, text_checks, token_checks, cell_cleaner, public_names, filter_values, collection_info, point_rows, state_round_trip, html_tables, text_vectors, pair_cosine, filter_image_pages, font_map, event_windows,
     )
 }
 ORACLE_SQL = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}

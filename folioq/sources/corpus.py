@@ -54,6 +54,23 @@ def html_units(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "reading_order", kind.alias("kind"), text.alias("text")).where("text <> ''")
 
 
-def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, modificationTime, length, content) of the PDF files under a folder."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", True).load(folder)
+def html_tables(pages: DataFrame) -> DataFrame:
+    """Rows of the tables of HTML pages: (page_id, table, row, table_id, caption, header, cells), tables and rows from 0. Rows without a
+    cell are left out; a caption that the first row repeats is taken off it."""
+    found = F.regexp_extract_all("html", F.lit(r"(?is)<table\b[^>]*>(.*?)</table>"), F.lit(1))
+    tables = pages.select("page_id", F.posexplode(found).alias("table", "body"))
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"(?s)<[^>]*>", " "), r"\s+", " "))
+    caption = plain(F.regexp_extract("body", r"(?is)<caption\b[^>]*>(.*?)</caption>", 1))
+    rows = tables.select("page_id", "table", caption.alias("caption"), F.posexplode(F.regexp_extract_all("body", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))).alias("row", "tr"))
+    cells = F.transform(F.regexp_extract_all("tr", F.lit(r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]>"), F.lit(1)), plain)
+    made = rows.select("page_id", "table", "row", "caption", F.col("tr").rlike(r"(?i)<th\b").alias("header"), cells.alias("cells"))
+    kept = made.where((F.size("cells") > 0) & ~((F.size("cells") == 1) & (F.element_at("cells", 1) == F.col("caption"))))
+    return kept.withColumn("table_id", F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(":table:"), F.col("table").cast("string")))
+
+
+def pdf_files(spark: SparkSession, folder: str | None = None, file: str | None = None) -> DataFrame:
+    """(path, modificationTime, length, content) of the PDF files under a folder, or of one file; one of the two must be given."""
+    if (folder is None) == (file is None):
+        raise ValueError("give a folder or a file")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]")
+    return (found.option("recursiveFileLookup", True).load(folder) if folder else found.load(file)).orderBy("path")
