@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from folioq.llm._text import slices
+from folioq.llm._text import SLICE, slices
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -84,7 +84,7 @@ def ranked(df: DataFrame, key: str, tie: list[str], rank: str = "rank", salts: i
     return df.withColumn("_local", local).join(sizes, [key, "_salt"]).withColumn(rank, F.col("_from") + F.col("_local")).drop("_salt", "_from", "_local")
 
 
-def map_texts(docs: DataFrame, fn: Callable, schema: str, most: int = 2 << 20) -> DataFrame:
+def map_texts(docs: DataFrame, fn: Callable, schema: str, most: int = SLICE) -> DataFrame:
     """Apply fn(texts) -> (keep mask or None, {column: array}) to slices of (doc_id, text) of about `most` characters.
 
     The result has doc_id and fn's columns, for the rows that the mask keeps. A null text reaches fn as None.
@@ -103,7 +103,7 @@ def map_texts(docs: DataFrame, fn: Callable, schema: str, most: int = 2 << 20) -
     return map_arrow(known, run, f"doc_id long, {schema}")
 
 
-def keep_texts(docs: DataFrame, fn: Callable, most: int = 2 << 20) -> DataFrame:
+def keep_texts(docs: DataFrame, fn: Callable, most: int = SLICE) -> DataFrame:
     """Rows of `docs`, with all their columns, for which fn(texts) gives True; fn sees slices of about `most` characters."""
     at = docs.columns.index("text")
 

@@ -21,6 +21,10 @@ SPACE = np.zeros(256, bool)
 SPACE[:33] = True
 SPACE[127] = True
 
+#: Characters that the kernels take at once (a longer text stands alone); their arrays are some hundred times that.
+SLICE = 1 << 19
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalising permutation of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioq.llm._spark import map_arrow, stash, table, without
-from folioq.llm._text import SPACE, Words, grams, slices, words
+from folioq.llm._text import SLICE, SPACE, Words, grams, slices, words
 
 GRAM = 3
 HITS = 2
@@ -191,7 +191,7 @@ def candidates(docs: DataFrame, index: Index, names: list) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for part in slices(np.array([len(t or "") for t in texts], np.int64), 2 << 20):
+            for part in slices(np.array([len(t or "") for t in texts], np.int64), SLICE):
                 gram, count, found, copies = find(index, texts[part])
                 none, none_too, none_either = [None] * len(gram), [None] * len(found), [None] * len(copies)
                 both = found + copies

@@ -33,12 +33,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioq.llm._spark import drop_stash, map_arrow, stash, table, without
-from folioq.llm._text import grams, range_hash, slices, words
+from folioq.llm._text import SLICE, grams, range_hash, slices, words
 
 COORDINATES = 64
 MATCHES = 30
 SHINGLE = 3
-_BATCH = 2 << 20
 
 
 def signatures(texts: list, coordinates: int = COORDINATES, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +69,7 @@ def signed(docs: DataFrame, coordinates: int = COORDINATES, shingle: int = SHING
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for part in slices(np.array([len(t or "") for t in texts], np.int64), _BATCH):
+            for part in slices(np.array([len(t or "") for t in texts], np.int64), SLICE):
                 sig, any_word = signatures(texts[part], coordinates, shingle)
                 flat = pa.array(sig[any_word].view(np.int32).ravel())
                 offsets = pa.array(np.arange(int(any_word.sum()) + 1, dtype=np.int32) * coordinates)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioq.llm._spark import map_arrow, map_texts, sampled, table
-from folioq.llm._text import SPACE, Words, mix, range_hash, slices, words
+from folioq.llm._text import SLICE, SPACE, Words, mix, range_hash, slices, words
 
 #: Bound of the training sample, in documents with a digit or an @, and number of generated sentences.
 TRAIN_ROWS = 600
@@ -634,7 +634,7 @@ def redacted(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column(at).to_pylist()
             changed = {}
-            for part in slices(np.array([len(t or "") for t in texts], np.int64), 2 << 20):
+            for part in slices(np.array([len(t or "") for t in texts], np.int64), SLICE):
                 for k, s in enumerate(entities(texts[part], w)):
                     if s:
                         changed[part.start + k] = redact(texts[part.start + k], s)
