@@ -80,7 +80,7 @@ def letter_embedder(text: pd.Series) -> pd.Series:
 
     def one(t: str) -> list[float]:
         low = t.lower()
-        return [round(low.count(chr(97 + k)) / len(low), 6) for k in range(26)]
+        return [low.count(chr(97 + k)) / len(t) for k in range(26)]  # lower() can lengthen a text
 
     return text.map(one)
 

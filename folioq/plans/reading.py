@@ -260,10 +260,11 @@ WHERE len(cells) > 0 AND NOT (len(cells) = 1 AND cells[1] = caption)"""
 
 
 def text_vectors(spark, sf_dir):
-    """Questions embedded by the stand-in, each distinct one once; three of the components."""
+    """Questions embedded by the stand-in, each distinct one once; three of the components, rounded as DuckDB does: the product
+    with a million, halves up."""
     asked = C.questions(table(spark, sf_dir, "conversations")).withColumnRenamed("query", "text")
     v = I.embed_once(asked, lambda distinct: seams.embedded(distinct, seams.letter_embedder))
-    return v.select("query_id", *(F.round(F.element_at("vec", k + 1), 6).alias(f"c{k}") for k in (0, 4, 25)))
+    return v.select("query_id", *((F.round(F.element_at("vec", k + 1) * 1e6) / 1e6).alias(f"c{k}") for k in (0, 4, 25)))
 
 
 _Q = compact("text")
