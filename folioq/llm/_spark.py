@@ -54,13 +54,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
-def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+#: Cached functions whose results a Python process keeps for its next tasks of the same kind.
+KEPT: list = []
+
+
+def forget(but: Callable | None = None) -> None:
+    """Empty the caches that tasks of other kinds have left in this process."""
+    for cached in KEPT:
+        if cached is not but:
+            cached.cache_clear()
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str | StructType, keeps: Callable | None = None) -> DataFrame:
     """df.mapInArrow in batches of bounded size; a task gives its memory back to the system when it ends, as its Python
-    process serves other tasks after it."""
+    process serves other tasks after it. Of the caches in KEPT, it begins with `keeps` alone."""
     for key, value in BATCH.items():
         df.sparkSession.conf.set(key, value)
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keeps)
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
@@ -84,7 +96,7 @@ def ranked(df: DataFrame, key: str, tie: list[str], rank: str = "rank", salts: i
     return df.withColumn("_local", local).join(sizes, [key, "_salt"]).withColumn(rank, F.col("_from") + F.col("_local")).drop("_salt", "_from", "_local")
 
 
-def map_texts(docs: DataFrame, fn: Callable, schema: str, most: int = SLICE) -> DataFrame:
+def map_texts(docs: DataFrame, fn: Callable, schema: str, most: int = SLICE, keeps: Callable | None = None) -> DataFrame:
     """Apply fn(texts) -> (keep mask or None, {column: array}) to slices of (doc_id, text) of about `most` characters.
 
     The result has doc_id and fn's columns, for the rows that the mask keeps. A null text reaches fn as None.
@@ -100,7 +112,7 @@ def map_texts(docs: DataFrame, fn: Callable, schema: str, most: int = SLICE) ->
                 yield pa.RecordBatch.from_arrays([a if mask is None else a.filter(pa.array(mask)) for a in arrays], ["doc_id", *names])
 
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(known, run, f"doc_id long, {schema}")
+    return map_arrow(known, run, f"doc_id long, {schema}", keeps)
 
 
 def keep_texts(docs: DataFrame, fn: Callable, most: int = SLICE) -> DataFrame:

@@ -234,7 +234,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         index = Index([t for _, t in part])
         scan = stash(candidates(docs, index, names), "candidates")
         counts = scan.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("df"))
-        own = spark.createDataFrame([(int(np.int64(g)), names[k]) for g, k in {(g, k) for g, k in zip(index.gram.view(np.int64).tolist(), index.item.tolist(), strict=True)}], "gram long, item_id long")
+        pairs = np.unique(np.stack([index.gram.view(np.int64), index.item.astype(np.int64)], 1), axis=0)
+        # As Arrow: lists would start a second set of Python processes on the executors, which stay.
+        own = spark.createDataFrame(pa.table({"gram": pairs[:, 0], "item_id": np.array(names, np.int64)[pairs[:, 1]]}))
         by_item = Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "gram")
         order = F.row_number().over(by_item) / F.count(F.lit(1)).over(Window.partitionBy("item_id"))
         seeds = own.join(counts, "gram", "left").withColumn("order", order).where(F.col("order") <= RARE).select("gram", "item_id")

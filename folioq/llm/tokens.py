@@ -9,7 +9,7 @@ A byte-pair tokenizer is compiled into two deterministic transducers:
 * the counter reads a piece's bytes; each transition is annotated with the number of tokens that it adds (or takes back,
   where a longer token replaces some). A state holds what the rest can depend on: for each open start of a next token, its
   place in the vocabulary's trie, the token before it, and the tokens emitted since. Its transitions are compiled when they
-  are first met and kept in a dense table. Beyond `MOST_STATES`, looked at in every step, the table is emptied but for the
+  are first met and kept in a table of blocks of `BLOCK` bytes' columns, made where a state has a transition. Beyond `MOST_STATES`, looked at in every step, the table is emptied but for the
   states in use, which changes no result. Long pieces are cut into chunks whose state maps, of the entry states that
   occur, are made side by side and composed in order.
 
@@ -23,18 +23,22 @@ from __future__ import annotations
 
 import base64
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from folioq.llm._spark import map_texts, table
+from folioq.llm._spark import KEPT, map_texts, table
 
 #: Place of the rank file. It must be readable wherever tasks run.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CHUNK = 128
-#: Bound of the counter's table: half a kB a state, 1 kB where texts use more than 128 different bytes.
+#: Bound of the counter's table, in states. Few of a state's transitions ever occur, so its columns are kept in blocks.
 MOST_STATES = 250_000
+BLOCK = 16
+#: The initial state: as each state, the bytes of triples (place, token before, tokens since) of 32-bit integers.
+ROOT = array("i", (0, -1, 0)).tobytes()
 #: Pieces of more bytes are counted in chunks of so many; bytes before a chunk that give its first entry state.
 LONG, WARM = 1024, 64
 
@@ -143,35 +147,36 @@ class Counter:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.most = most
         self.bytes = [b""] * (max(self.ranks.values()) + 1)
-        self.child: list[dict[int, int]] = [{}]
-        self.token = [-1]
+        self.child: dict[int, int] = {}  # by place * 256 + byte
+        self.token, self.inner = [-1], bytearray(1)
         for word, rank in self.ranks.items():
             self.bytes[rank] = word
             at = 0
             for c in word:
-                nxt = self.child[at].get(c)
+                nxt = self.child.get(at * 256 + c)
                 if nxt is None:
-                    nxt = self.child[at][c] = len(self.child)
-                    self.child.append({})
+                    nxt = self.child[at * 256 + c] = len(self.token)
                     self.token.append(-1)
+                    self.inner[at] = 1
+                    self.inner.append(0)
                 at = nxt
             self.token[at] = rank
         self.restart()
 
-    def restart(self) -> None:
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.state = {((0, -1, 0),): 0}
-        self.open = [((0, -1, 0),)]
-        self.items: dict[tuple[int, int, int], tuple[int, int, int]] = {}
-        self.column = np.full(256, -1, np.int64)  # of each byte met
+    def restart(self, wide: int = 128 // BLOCK) -> None:
+        self.fits: dict[int, bool] = {}
+        self.state = {ROOT: 0}
+        self.open = [ROOT]
+        self.column = np.full(256, -1, np.int32)  # of each byte met
         self.byte: list[int] = []
-        self.table = np.full((4096, 128), -1, np.int32)
+        self.block = np.zeros((4096, wide), np.int32)  # of each state's columns; block 0 is empty
+        self.blocks, self.pool = 1, np.full((4096, BLOCK), -1, np.int32)
 
     def meet(self, data: np.ndarray) -> None:
         """Give the bytes that are new a column of the table."""
         for c in np.flatnonzero((np.bincount(data, minlength=256) > 0) & (self.column < 0)).tolist():
-            if len(self.byte) == self.table.shape[1]:
-                self.table = np.concatenate([self.table, np.full_like(self.table, -1)], 1)
+            if len(self.byte) == self.block.shape[1] * BLOCK:
+                self.block = np.concatenate([self.block, np.zeros_like(self.block)], 1)
             self.column[c] = len(self.byte)
             self.byte.append(c)
 
@@ -187,65 +192,78 @@ class Counter:
 
     def follows(self, before: int, token: int) -> bool:
         """Whether the merges keep the two tokens apart. before = -1: whether they make the token at all."""
-        known = self.fits.get((before, token))
+        key = before * len(self.bytes) + token
+        known = self.fits.get(key)
         if known is None:
             if before < 0:
                 known = self.merged(self.bytes[token]) == [token]
             else:
                 known = self.merged(self.bytes[before] + self.bytes[token]) == [before, token]
-            self.fits[before, token] = known
+            self.fits[key] = known
         return known
 
     def compile(self, state: int, column: int) -> None:
         """Add one transition. Of the tokens that end here, one fits what precedes it: it ends the piece so far."""
         moved, last, back, byte = [], -1, 0, self.byte[column]
-        for place, before, since in self.open[state]:
-            nxt = self.child[place].get(byte)
+        triples = iter(array("i", self.open[state]))
+        for place, before, since in zip(triples, triples, triples, strict=True):
+            nxt = self.child.get(place * 256 + byte)
             if nxt is not None:
                 if last < 0 and self.token[nxt] >= 0 and self.follows(before, self.token[nxt]):
                     last, back = self.token[nxt], since
-                if self.child[nxt]:
+                if self.inner[nxt]:
                     moved.append((nxt, before, since))
         change = 1 - back
-        key = tuple(self.items.setdefault(x, x) for x in (*((a, b, s + change) for a, b, s in moved), (0, last, 0)))
-        to = self.number(key)
-        self.table[state, column] = to * 256 + change + 128
+        key = array("i")
+        for place, before, since in moved:
+            key.extend((place, before, since + change))
+        key.extend((0, last, 0))
+        to = self.number(key.tobytes())
+        block = self.block[state, column // BLOCK]
+        if not block:
+            if self.blocks == len(self.pool):
+                self.pool = np.concatenate([self.pool, np.full_like(self.pool[: len(self.pool) // 2], -1)])
+            block = self.block[state, column // BLOCK] = self.blocks
+            self.blocks += 1
+        self.pool[block, column % BLOCK] = to * 256 + change + 128
+
+    def found(self, at: np.ndarray) -> np.ndarray:
+        """Transitions of state * width + column; -1 for those not compiled."""
+        return self.pool.reshape(-1)[self.block.reshape(-1)[at // BLOCK].astype(np.int64) * BLOCK + at % BLOCK]
 
     def afresh(self, state: np.ndarray) -> np.ndarray:
         """Empty the table but for the states in use, and give these their new numbers."""
         used, at = np.unique(state, return_inverse=True)
         keys = [self.open[k] for k in used.tolist()]
-        columns, self.fits = (self.column, self.byte, self.table.shape[1]), {} if len(self.fits) > 4 * self.most else self.fits
-        fits = self.fits
-        self.restart()
-        self.fits, (self.column, self.byte, width) = fits, columns
-        self.table = np.full((4096, width), -1, np.int32)
+        columns, fits = (self.column, self.byte), {} if len(self.fits) > 4 * self.most else self.fits
+        self.restart(self.block.shape[1])
+        self.fits, (self.column, self.byte) = fits, columns
         return np.array([self.number(key) for key in keys], np.int64)[at]
 
-    def number(self, key: tuple) -> int:
+    def number(self, key: bytes) -> int:
         """The state's number; a new one if it isn't known."""
         at = self.state.get(key)
         if at is None:
             at = self.state[key] = len(self.open)
             self.open.append(key)
-            if at == len(self.table):
-                self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+            if at == len(self.block):
+                self.block = np.concatenate([self.block, np.zeros_like(self.block)])
         return at
 
     def walk(self, column: np.ndarray, begin: np.ndarray, size: np.ndarray, keys: list | None = None) -> tuple[np.ndarray, list | None]:
         """Tokens that are added from each entry state (`keys`; the initial one for None) by column[begin : begin + size], and
         the states in the end if entry states were given. All lanes advance together; the table's bound holds at each step."""
         order = np.argsort(-size, kind="stable")
-        begin, total, width = begin[order], np.zeros(len(size), np.int64), self.table.shape[1]
+        begin, total, width = begin[order], np.zeros(len(size), np.int64), self.block.shape[1] * BLOCK
         active = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), "left")
         state = np.zeros(len(size), np.int64) if keys is None else np.array([self.number(keys[k]) for k in order.tolist()], np.int64)
         for k, n in enumerate(active.tolist()):
             at = state[:n] * width + column[begin[:n] + k]
-            got = self.table.reshape(-1)[at]
+            got = self.found(at)
             if (missing := got < 0).any():
                 for x in np.unique(at[missing]).tolist():
                     self.compile(*divmod(x, width))
-                got = self.table.reshape(-1)[at]
+                got = self.found(at)
             state[:n] = got >> 8
             total[:n] += (got & 255) - 128
             if len(self.open) > self.most + len(state):
@@ -274,15 +292,14 @@ class Counter:
         for k in np.flatnonzero(size > LONG).tolist():
             at = np.arange(start[k], end[k], LONG)
             length = np.minimum(LONG, end[k] - at)
-            root = ((0, -1, 0),)
             warm = np.minimum(WARM, at - start[k])
-            _, guess = self.walk(column, at - warm, warm, [root] * len(at))
+            _, guess = self.walk(column, at - warm, warm, [ROOT] * len(at))
             added, ends = self.walk(column, at, length, guess)
             raw = [data[a : a + n].tobytes() for a, n in zip(at.tolist(), length.tolist(), strict=True)]
-            maps: dict[bytes, dict] = {}
+            maps: dict[bytes, dict[bytes, tuple]] = {}
             for chunk, entry, n, out in zip(raw, guess, added.tolist(), ends, strict=True):
                 maps.setdefault(chunk, {})[entry] = n, out
-            now = root
+            now = ROOT
             for j, chunk in enumerate(raw):
                 if now not in maps[chunk]:
                     n, out = self.walk(column, at[j : j + 1], length[j : j + 1], [now])
@@ -297,6 +314,9 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
+KEPT.append(counter)
+
+
 def token_counts(texts: list, model: Counter) -> np.ndarray:
     """Number of tokens of each text; None counts as empty."""
     whole = "\0".join(t or "" for t in texts) + "\0"
@@ -316,7 +336,7 @@ def token_counts(texts: list, model: Counter) -> np.ndarray:
 
 def counted(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, tokens) of every row."""
-    return map_texts(docs, lambda texts: (None, {"tokens": token_counts(texts, counter(vocabulary))}), "tokens long")
+    return map_texts(docs, lambda texts: (None, {"tokens": token_counts(texts, counter(vocabulary))}), "tokens long", keeps=counter)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

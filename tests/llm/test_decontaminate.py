@@ -124,3 +124,10 @@ def test_the_filter_searches_items_without_id(spark):
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert {r.doc_id for r in D.drop_contaminated(docs, bench).collect()} == set(range(18, 40))
     assert {r.doc_id for r in D.contaminated(docs, bench).collect()} == set(range(18))
+
+
+def test_the_items_grams_start_no_python_processes(spark, sf_dir, monkeypatch):
+    """Lists of rows are unpickled by Python processes of their own, which stay beside those of the scan."""
+    lists, make = [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *more, **named: (lists.append(type(data)) if isinstance(data, list) and data else None, make(self, data, *more, **named))[1])
+    assert D.op3_decontaminate(spark, sf_dir).count() > 0 and not lists

@@ -3,6 +3,7 @@
 import base64
 import random
 import re
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -11,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from folioq.llm import tokens as T
+from folioq.llm._spark import map_texts
 
 tiktoken = pytest.importorskip("tiktoken")
 if not Path(T.VOCABULARY).exists():
@@ -100,3 +102,24 @@ def test_a_piece_of_ten_megabytes(library, model):
     four, five, six = library([block * k for k in (4, 5, 6)])
     assert five - four == six - five and got[1] == four + (2500 - 4) * (five - four)
     assert len(model.open) <= model.most + 20_000
+
+
+def test_the_table_takes_what_its_transitions_need(library):
+    """The memory kept is in proportion to the transitions met; a row of all columns a state took three times that."""
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("etaoinshrdlucmfwypvbgkjqxz") for _ in range(rng.randint(3, 9))) for _ in range(8000))]
+    fresh = T.Counter(T.VOCABULARY)
+    T.token_counts(["x"], fresh)
+    tracemalloc.start()
+    got = T.token_counts(texts, fresh).tolist()
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert got == library(texts) and len(fresh.open) > 20_000
+    assert kept < 450 * len(fresh.open)
+
+
+def test_other_tasks_find_no_counter_left_in_their_process(spark):
+    df = spark.range(40).selectExpr("id AS doc_id", "'some words' AS text").repartition(8)
+    assert {r.tokens for r in T.counted(df).collect()} == {2}
+    left = map_texts(df, lambda texts: (None, {"left": [T.counter.cache_info().currsize] * len(texts)}), "left long")
+    assert {r.left for r in left.collect()} == {0}
