@@ -7,7 +7,7 @@ import pytest
 
 from folioq.operators import flow as L
 from folioq.operators import retrieval as R
-from folioq.plans import flow
+from folioq.plans import flow, retrieval
 
 
 @pytest.fixture
@@ -56,3 +56,8 @@ def test_only_questions_of_the_route_are_searched(spark, sf_dir, monkeypatch, qu
     monkeypatch.setattr(L, "search", lambda questions, *rest: seen.update(r.route for r in questions.select("route").distinct().collect()) or plain(questions.limit(2), *rest))
     flow.QUERIES[query](spark, sf_dir)
     assert seen == {route}
+
+
+def test_hits_are_written_once(spark, sf_dir):
+    """What reads the fused hits reads them from the shared folder and doesn't search again."""
+    assert "MapInArrow" not in retrieval.fused_hits(spark, sf_dir)._jdf.queryExecution().toString()
