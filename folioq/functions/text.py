@@ -1,11 +1,13 @@
 """Scalar text kernels as Column -> Column functions; all of them stay in the JVM but for `nfc`.
 
-Lengths count characters. White space is the ASCII kind. A null text gives null unless a function says otherwise.
+Lengths count characters. White space is the ASCII kind, and so are the word characters that bound a word in a pattern: look-arounds for \\w
+say so, as \\b means letters of all scripts to some Java versions and ASCII to others and to SQL. A null text gives null unless a function says otherwise.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -44,9 +46,25 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once a row however often `use` names it. A plain expression is computed at each place."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def compact(text: Column) -> Column:
-    """White space runs as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """White space runs as one blank, none at the ends. Single blanks are no match, as most of a text's white space is such."""
+    return F.trim(F.regexp_replace(text, r"[\t\n\x0B\f\r]\s*| \s+", " "))
+
+
+def foreign(text: Column) -> Column:
+    """The characters beyond ASCII."""
+    return F.regexp_replace(text, r"[\x00-\x7f]+", "")
+
+
+def others(text: Column, beyond: Column, ascii_kept: str, kept: str) -> Column:
+    """Number of characters in neither class; `beyond` is foreign(text). Classes of ASCII alone are matched much faster."""
+    plain = F.regexp_replace(text, f"[\\x{{80}}-\\x{{10ffff}}{ascii_kept}]+", "")
+    return F.length(plain) + F.length(F.regexp_replace(beyond, f"[{kept}]+", ""))
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -56,7 +74,7 @@ def matches(text: Column, pattern: str) -> Column:
 
 def share(text: Column, kept: str) -> Column:
     """Number of characters of the class `kept`."""
-    return F.length(text) - F.length(F.regexp_replace(text, f"[{kept}]", ""))
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{kept}]+", ""))
 
 
 def word_list(text: Column) -> Column:
@@ -88,10 +106,14 @@ def normalize_text(text: Column, latin_fold: bool = False, composed: bool = Fals
 def detect_script(text: Column) -> Column:
     """Script of the first character that belongs to a known one, else latin."""
     first = F.regexp_extract(F.coalesce(text, F.lit("")), "[" + "".join(s[0] for s in SCRIPTS.values()) + "]", 0)
-    out = F.lit("latin")
-    for name, (chars, _, _) in SCRIPTS.items():
-        out = F.when(first.rlike(f"[{chars}]"), name).otherwise(out)
-    return out
+
+    def named(char: Column) -> Column:
+        out = F.lit("latin")
+        for name, (chars, _, _) in SCRIPTS.items():
+            out = F.when(char.rlike(f"[{chars}]"), name).otherwise(out)
+        return out
+
+    return let(first, named)
 
 
 def script_code(script: Column) -> Column:
@@ -126,79 +148,104 @@ def keywords(text: Column) -> Column:
 
 def is_garbled(text: Column) -> Column:
     """Many odd symbols, or marks of a wrong decoding in a text of no Indic or Arabic script."""
-    t = F.trim(F.coalesce(text, F.lit("")))
-    odd = F.length(F.regexp_replace(t, r"[\p{L}\p{N}\p{M}\s|.,;:!?()\[\]{}'\"/।॥-]", ""))
-    wrong = t.rlike("Ãƒ|Ã‚|ï¿½|�") & ~t.rlike("[ऀ-ॿ؀-ۿఀ-౿]")
-    return (F.length(t) >= 5) & ((odd / F.length(t) > 0.30) | wrong)
+
+    def judged(t: Column, beyond: Column) -> Column:
+        odd = others(t, beyond, r"A-Za-z0-9\s|.,;:!?()\[\]{}'\"/-", r"\p{L}\p{N}\p{M}।॥")
+        marks = "Ã[ƒ‚]|ï¿½|�"
+        wrong = beyond.rlike(marks) & t.rlike(marks) & ~beyond.rlike("[ऀ-ॿ؀-ۿఀ-౿]")
+        return (F.length(t) >= 5) & ((odd / F.length(t) > 0.30) | wrong)
+
+    return let(F.trim(F.coalesce(text, F.lit(""))), lambda t: let(foreign(t), lambda beyond: judged(t, beyond)))
 
 
 def is_non_latin(text: Column) -> Column:
     flat = compact(F.coalesce(text, F.lit("")))
-    letters = F.length(F.regexp_replace(flat, r"[^\p{L}]", ""))
-    foreign = F.length(F.regexp_replace(F.regexp_replace(flat, r"[^\p{L}]", ""), f"[^{NON_LATIN}]", ""))
-    return (F.length(flat) >= 5) & (letters > 0) & (foreign / F.greatest(letters, F.lit(1)) >= 0.20)
+
+    def foreign(flat: Column, letters: Column) -> Column:
+        some = F.length(F.regexp_replace(letters, f"[^{NON_LATIN}]+", ""))
+        return (F.length(flat) >= 5) & (F.length(letters) > 0) & (some / F.greatest(F.length(letters), F.lit(1)) >= 0.20)
+
+    return let(flat, lambda f: let(F.regexp_replace(f, r"[^\p{L}]+", ""), lambda letters: foreign(f, letters)))
 
 
 #: A word with a letter and two word characters, whose part between its first and last word character holds no mojibake.
 _MEANINGFUL = r"(?<!\S)(?=\S*\p{L})(?=\S*?[\p{L}\p{N}_]\S*?[\p{L}\p{N}_])(?!\S*(?:[ÃÂï]\S*[\p{L}\p{N}_]|à[¤¥¦¨]\S*[\p{L}\p{N}_]|à[ª³]))\S+"
 
 
-def quality(text: Column) -> dict[str, Column]:
-    """The measures that decide whether a page's text is usable."""
-    flat = compact(F.coalesce(text, F.lit("")))
+#: Words without a letter, or whose only word character is a letter: those that aren't meaningful where no mojibake is.
+_EMPTY = r"(?<!\S)(?:[^\s\p{L}]++|[^\s\p{L}\p{N}_]*+\p{L}[^\s\p{L}\p{N}_]*+)(?!\S)"
+
+
+def _measures(flat: Column, beyond: Column) -> dict[str, Column]:
+    """quality of a compact text and its foreign characters, which are columns or lets."""
     chars = F.greatest(F.length(flat), F.lit(1))
-    listed = word_list(flat)
-    n = F.greatest(F.size(listed), F.lit(1))
-    odd = F.length(F.regexp_replace(flat, r"[\p{L}\p{N}\p{M}\s.,:;!?()\[\]{}'\"/_%+&*#°₹$=|।॥-]", ""))
+    words = F.when(flat == "", 0).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + 1)
+    n = F.greatest(words, F.lit(1))
+    odd = others(flat, beyond, r"A-Za-z0-9\s.,:;!?()\[\]{}'\"/_%+&*#$=|-", r"\p{L}\p{N}\p{M}°₹।॥")
     # Words are counted by one scan of the text, with what a word must hold as look-ahead from its start.
-    meaningful = F.regexp_count(flat, F.lit(_MEANINGFUL))
-    mixed = F.regexp_count(flat, F.lit(rf"(?<!\S)(?=\S*[A-Za-z])(?=\S*[^\x00-\x7f])(?!\S*[{INDIC}])\S+"))
+    suspect = beyond.rlike("[ÃÂï]|à[¤¥¦¨ª³]")
+    meaningful = F.when(suspect, F.regexp_count(flat, F.lit(_MEANINGFUL))).otherwise(words - F.regexp_count(flat, F.lit(_EMPTY)))
+    mixed = F.regexp_count(flat, F.lit(rf"(?<!\S)(?=[^\s\x{{80}}-\x{{10ffff}}]*+[^\x00-\x7f])(?=\S*[A-Za-z])(?!\S*[{INDIC}])\S+"))
     return {
         "symbol_ratio": odd / chars,
-        "non_ascii_ratio": share(flat, r"^\x00-\x7f") / chars,
-        "indic_ratio": share(flat, INDIC) / chars,
-        "mojibake_ratio": F.regexp_count(flat, F.lit("Ã.|Â.|ï.|à¤|à¥|à¦|à¨|àª|à³")) / chars,
-        "mixed_ratio": mixed / n,
+        "non_ascii_ratio": F.length(beyond) / chars,
+        "indic_ratio": share(beyond, INDIC) / chars,
+        "mojibake_ratio": F.when(suspect, F.regexp_count(flat, F.lit("[ÃÂï].|à[¤¥¦¨ª³]"))).otherwise(0) / chars,
+        "mixed_ratio": F.when(beyond != "", mixed).otherwise(0) / n,
         "meaningful_ratio": meaningful / n,
         "too_short": F.length(flat) < 40,
     }
 
 
+def quality(text: Column) -> Column:
+    """The measures that decide whether a page's text is usable, as a struct."""
+    measured = lambda flat, beyond: F.struct(*(c.alias(name) for name, c in _measures(flat, beyond).items()))
+    return let(compact(F.coalesce(text, F.lit(""))), lambda flat: let(foreign(flat), lambda beyond: measured(flat, beyond)))
+
+
 def looks_like_index(text: Column) -> Column:
     """Three lines or more, two of them short entries with a number in front, two with a page range."""
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), compact), lambda x: x != "")
-    ranges = F.size(F.filter(lines, lambda x: x.rlike(r"\b\d{1,4}\s*-\s*\d{1,4}\b")))
-    entries = F.size(F.filter(lines, lambda x: x.rlike(r"^\d{1,3}\b") & (word_count(x) <= 8)))
-    return (F.size(lines) >= 3) & (entries >= 2) & (ranges >= 2)
+
+    def listed(lines: Column) -> Column:
+        ranges = F.size(F.filter(lines, lambda x: x.rlike(r"(?<!\w)\d{1,4}\s*-\s*\d{1,4}(?!\w)")))
+        entries = F.size(F.filter(lines, lambda x: x.rlike(r"^\d{1,3}(?!\w)") & (word_count(x) <= 8)))
+        return (F.size(lines) >= 3) & (entries >= 2) & (ranges >= 2)
+
+    # Most texts hold no range at all, so that their lines needn't be parted.
+    return F.coalesce(text, F.lit("")).rlike(r"\d\s*-\s*\d") & let(lines, listed)
 
 
 def ocr_reason(text: Column) -> Column:
     """Why a page's text must be read anew, or why not (native_good, index_like_native)."""
-    t = F.trim(F.coalesce(text, F.lit("")))
-    q = quality(t)
-    reasons = F.array(
-        F.when(q["too_short"], "too_short"),
-        F.when(q["mojibake_ratio"] > 0.08, "mojibake_like"),
-        F.when(q["mixed_ratio"] > 0.10, "legacy_mixed_tokens"),
-        F.when((q["non_ascii_ratio"] > 0.55) & (q["indic_ratio"] < 0.10), "high_non_ascii_ratio"),
-        F.when(q["meaningful_ratio"] < 0.45, "low_meaningful_words"),
-        F.when(q["symbol_ratio"] > 0.30, "high_symbol_ratio"),
-        F.when(q["symbol_ratio"] > 0.15, "symbol_regex_hit"),
-    )
-    listed = F.array_join(F.array_compact(reasons), ",")
-    return (
-        F.when(t == "", "empty_native")
-        .when(looks_like_index(t), "index_like_native")
-        .when(is_garbled(t), "parser_garbled")
-        .when(listed != "", F.concat(F.lit("quality:"), listed))
-        .otherwise("native_good")
-    )
 
-
-def page_type(text: Column, image_ratio: Column) -> Column:
-    """scanned, blank, digitized or ocr_fallback."""
+    def listed(q: Column) -> Column:
+        reasons = F.array(
+            F.when(q["too_short"], "too_short"),
+            F.when(q["mojibake_ratio"] > 0.08, "mojibake_like"),
+            F.when(q["mixed_ratio"] > 0.10, "legacy_mixed_tokens"),
+            F.when((q["non_ascii_ratio"] > 0.55) & (q["indic_ratio"] < 0.10), "high_non_ascii_ratio"),
+            F.when(q["meaningful_ratio"] < 0.45, "low_meaningful_words"),
+            F.when(q["symbol_ratio"] > 0.30, "high_symbol_ratio"),
+            F.when(q["symbol_ratio"] > 0.15, "symbol_regex_hit"),
+        )
+        return let(F.array_join(F.array_compact(reasons), ","), lambda r: F.when(r != "", F.concat(F.lit("quality:"), r)).otherwise("native_good"))
+
+    def reason(t: Column) -> Column:
+        return (
+            F.when(t == "", "empty_native")
+            .when(looks_like_index(t), "index_like_native")
+            .when(is_garbled(t), "parser_garbled")
+            .otherwise(let(quality(t), listed))
+        )
+
+    return let(F.trim(F.coalesce(text, F.lit(""))), reason)
+
+
+def page_type(text: Column, image_ratio: Column, reason: Column | None = None) -> Column:
+    """scanned, blank, digitized or ocr_fallback; `reason`: the text's ocr_reason, where it is at hand."""
     t = F.trim(F.coalesce(text, F.lit("")))
-    heavy, reason = image_ratio >= 0.75, ocr_reason(t)
+    heavy, reason = image_ratio >= 0.75, ocr_reason(t) if reason is None else reason
     return (
         F.when((F.length(t) < 40) & heavy, "scanned")
         .when((t == "") & ~heavy, "blank")
@@ -215,8 +262,8 @@ def clean_lines(text: Column) -> Column:
     kept = F.filter(
         lines,
         lambda x: (x != "")
-        & ~(low(x).rlike(r"\bwww\.ijaar\.in\b") & low(x).contains("volume") & low(x).contains("issue"))
-        & ~low(x).rlike(r"^\d{1,4}\s+www\.ijaar\.in\b")
+        & ~(low(x).rlike(r"(?<!\w)www\.ijaar\.in(?!\w)") & low(x).contains("volume") & low(x).contains("issue"))
+        & ~low(x).rlike(r"^\d{1,4}\s+www\.ijaar\.in(?!\w)")
         & ~low(x).rlike("conflict of interest|source of support|financial support"),
     )
     return F.array_join(kept, "\n")
@@ -259,7 +306,7 @@ def is_loose_table_row(text: Column) -> Column:
 
 
 def is_table_anchor(text: Column) -> Column:
-    return F.lower(F.coalesce(text, F.lit(""))).rlike(r"\btable\s*(no\.?\s*\d+|\d+)\b")
+    return F.lower(F.coalesce(text, F.lit(""))).rlike(r"(?<!\w)table\s*(no\.?\s*\d+|\d+)(?!\w)")
 
 
 def is_contextual_row(text: Column) -> Column:
@@ -272,19 +319,21 @@ def is_contextual_row(text: Column) -> Column:
         .when(flat.rlike(r"[.!?]\s*$") & (n >= 8), False)
         .when(low.rlike(f"^({ROW_LABELS})"), True)
         .when(numbers(flat) >= 1, True)
-        .otherwise((n <= 6) & ~low.rlike(r"\b(the|and|with|were|was|is|are|this|that|from|into|over|under)\b"))
+        .otherwise((n <= 6) & ~low.rlike(r"(?<!\w)(the|and|with|were|was|is|are|this|that|from|into|over|under)(?!\w)"))
     )
 
 
 def is_context_break(text: Column) -> Column:
     flat = compact(F.coalesce(text, F.lit("")))
-    return (word_count(flat) >= 16) & flat.rlike("[.!?;]") & F.lower(flat).rlike(r"\b(method|observations|prepared|adopting|objective|analysis|discussion|conclusion)\b")
+    return (word_count(flat) >= 16) & flat.rlike("[.!?;]") & F.lower(flat).rlike(r"(?<!\w)(method|observations|prepared|adopting|objective|analysis|discussion|conclusion)(?!\w)")
 
 
 def is_numeric_dense(text: Column) -> Column:
-    flat = compact(F.coalesce(text, F.lit("")))
-    digits, letters = F.length(F.regexp_replace(flat, r"[^\p{Nd}]", "")), F.length(F.regexp_replace(flat, r"[^\p{L}]", ""))
-    return (digits + letters > 0) & (digits / F.greatest(digits + letters, F.lit(1)) >= 0.35) & (word_count(flat) <= 14)
+    def dense(flat: Column, digits: Column, letters: Column) -> Column:
+        return (digits + letters > 0) & (digits / F.greatest(digits + letters, F.lit(1)) >= 0.35) & (word_count(flat) <= 14)
+
+    kept = lambda flat, kind: F.length(F.regexp_replace(flat, rf"[^\p{{{kind}}}]+", ""))
+    return let(compact(F.coalesce(text, F.lit(""))), lambda flat: let(F.struct(kept(flat, "Nd").alias("d"), kept(flat, "L").alias("l")), lambda n: dense(flat, n["d"], n["l"])))
 
 
 def is_title_case(text: Column) -> Column:
@@ -335,10 +384,11 @@ def is_verse(text: Column, only_latin: Column | None = None) -> Column:
 
 def noise_form(text: Column) -> Column:
     """What stays the same of a running header or footer from page to page."""
-    t = F.lower(compact(F.coalesce(text, F.lit(""))))
-    t = F.regexp_replace(t, r"^\s*\d{1,4}\s*", "")
-    t = F.regexp_replace(t, r"\s*\d{1,4}\s*$", "")
-    return F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"^[ |.-]+|[ |.-]+$", "")
+    digit = lambda c: c.between("0", "9")
+    headless = lambda t: F.when(digit(F.left(t, F.lit(1))), F.regexp_replace(t, r"^\s*\d{1,4}\s*", "")).otherwise(t)
+    endless = lambda t: F.when(digit(F.right(t, F.lit(1))), F.regexp_replace(t, r"\s*\d{1,4}\s*$", "")).otherwise(t)
+    # A compact text begins and ends with no white space, and stays compact.
+    return let(F.lower(compact(F.coalesce(text, F.lit("")))), lambda t: F.btrim(let(headless(t), endless), F.lit(" |.-")))
 
 
 def is_page_number(text: Column) -> Column:

@@ -25,23 +25,24 @@ def page() -> WindowSpec:
 def mark_noise(units: DataFrame, strong: int = 2, generic: int = 3) -> DataFrame:
     """Add `noise`: texts that recur in the margins of several pages of a book, wherever they stand, and page numbers."""
     t, height = F.col("text"), F.greatest(F.max("y1").over(page()), F.lit(1.0))
-    u = units.withColumn("_h", height).withColumn("_norm", T.noise_form(t))
+    u = units.withColumn("_h", height)
     above, below = F.col("y1") <= F.col("_h") * 0.14, F.col("y0") >= F.col("_h") * 0.84
     norm, n = F.col("_norm"), T.word_count(F.col("_norm"))
     number = T.is_page_number(t) & (above | below)
     kind = (
-        F.when((norm == "") | (F.length(t) > 140) | ~(above | below), None)
-        .when(norm.rlike(T.FURNITURE) | number, "strong")
-        .when(above & (n <= 12) & (t.contains(":") | norm.rlike(r"\bet\s*al\b|etal")), "generic")
+        F.when(norm.rlike(T.FURNITURE) | number, "strong")
+        .when(above & (n <= 12) & (t.contains(":") | norm.rlike(r"(?<!\w)et\s*al(?!\w)|etal")), "generic")
         .when(below & (n <= 8) & (F.length(norm) <= 70), "generic")
     )
-    u = u.withColumn("_kind", kind).withColumn("_number", number)
-    seen = u.where("_kind IS NOT NULL").groupBy("book", "_norm").agg(
+    # Only short lines in the margins can recur as furniture; the rest is left out before its form is made.
+    margin = u.where((above | below) & (F.length(t) <= 140)).withColumn("_norm", T.noise_form(t)).where("_norm <> ''").withColumn("_kind", kind)
+    seen = margin.where("_kind IS NOT NULL").groupBy("book", "_norm").agg(
         F.count_distinct(F.when(F.col("_kind") == "strong", F.col("page_id"))).alias("s"), F.count_distinct(F.when(F.col("_kind") == "generic", F.col("page_id"))).alias("g")
     )
     repeated = seen.where((F.col("s") >= strong) | (F.col("g") >= generic)).select("book", "_norm", F.lit(True).alias("_repeated"))
+    u = u.withColumn("_number", number).withColumn("_norm", T.noise_form(t))
     out = u.join(small(repeated, 200_000), ["book", "_norm"], "left").withColumn("noise", F.coalesce(F.col("_repeated"), F.lit(False)) | F.col("_number"))
-    return out.drop("_h", "_norm", "_kind", "_number", "_repeated")
+    return out.drop("_h", "_norm", "_number", "_repeated")
 
 
 def lay_out(units: DataFrame) -> DataFrame:
@@ -107,7 +108,7 @@ def block_kind(units: DataFrame) -> DataFrame:
     above, below = F.col("y1") <= F.col("_h") * 0.14, F.col("y0") >= F.col("_h") * 0.86
     corner = (F.col("x0") <= w * 0.15) | (F.col("x1") >= w * 0.85)
     furniture = (above | below) & (
-        T.is_page_number(t) | low.rlike(T.FURNITURE) | (above & t.contains(":") & low.rlike(r"\bet\s*al\b|etal")) | (corner & low.rlike(r"^\d{1,4}\s+[a-z]")) | t.rlike(r"^[. ]*\d+[. ]*$") & (F.length(t) <= 6)
+        T.is_page_number(t) | low.rlike(T.FURNITURE) | (above & t.contains(":") & low.rlike(r"(?<!\w)et\s*al(?!\w)|etal")) | (corner & low.rlike(r"^\d{1,4}\s+[a-z]")) | t.rlike(r"^[. ]*\d+[. ]*$") & (F.length(t) <= 6)
     )
     wide = (F.col("x1") - F.col("x0")) / w
     centred = F.abs((F.col("x0") + F.col("x1")) / 2 - w / 2) <= w * 0.12

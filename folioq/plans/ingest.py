@@ -54,9 +54,10 @@ def page_route(spark, sf_dir):
     """Way in of every document as a page, every tenth of which a large image covers."""
     m = I.page_measures(_units(spark, sf_dir))
     text, image = F.col("text"), F.when(F.col("doc_id") % 10 == 0, 0.9).otherwise(0.1)
-    docs = table(spark, sf_dir, "documents").withColumn("reason", T.ocr_reason(text)).withColumn("page_type", T.page_type(text, image))
+    docs = table(spark, sf_dir, "documents").withColumn("reason", T.ocr_reason(text))
+    docs = docs.select("doc_id", "reason", T.page_type(text, image, F.col("reason")).alias("page_type"), (F.trim(F.coalesce("text", F.lit(""))) == "").alias("blank"))
     joined = docs.join(m, docs.doc_id == m.page_id, "left").withColumn("structure", F.coalesce("structure", F.lit("no_native_text")))
-    way = I.route(F.trim(F.coalesce("text", F.lit(""))) == "", F.col("page_type"), F.col("reason"), F.col("structure"))
+    way = I.route(F.col("blank"), F.col("page_type"), F.col("reason"), F.col("structure"))
     return joined.select("doc_id", "structure", "two_columns", "mixed", "garbled", way.alias("route"))
 
 

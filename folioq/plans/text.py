@@ -37,8 +37,8 @@ SELECT doc_id, CAST(len(k) AS INTEGER) AS n, array_to_string(k, ' ') AS keywords
 
 
 def script_detect(spark, sf_dir):
-    script = T.detect_script(F.col("text"))
-    return texts(spark, sf_dir).select("doc_id", script.alias("script"), T.script_code(script).alias("code"), F.array_join(T.script_languages(script), ",").alias("languages"))
+    script = F.col("script")
+    return texts(spark, sf_dir).select("doc_id", T.detect_script(F.col("text")).alias("script")).select("doc_id", "script", T.script_code(script).alias("code"), F.array_join(T.script_languages(script), ",").alias("languages"))
 
 
 _FIRST = "regexp_extract(coalesce(text, ''), '[" + "".join(s[0] for s in T.SCRIPTS.values()) + "]')"
@@ -69,8 +69,8 @@ NORMALIZE_TEXT = f"SELECT doc_id, {_normal(False)} AS normalized, {_normal(True)
 
 
 def text_quality(spark, sf_dir):
-    q = T.quality(F.col("text"))
-    return texts(spark, sf_dir).select("doc_id", *((F.round(c, 6) if name.endswith("ratio") else c).alias(name) for name, c in q.items()))
+    q = texts(spark, sf_dir).select("doc_id", T.quality(F.col("text")).alias("q")).select("doc_id", "q.*")
+    return q.select("doc_id", *(F.round(name, 6).alias(name) if name.endswith("ratio") else name for name in q.columns[1:]))
 
 
 _ODD = r"[\p{L}\p{N}\p{M}\s.,:;!?()\[\]{}'\"/_%+&*#°₹$=|।॥-]"
@@ -107,7 +107,8 @@ SELECT doc_id, {_garbled("t")} AS garbled,
 
 def ocr_decision(spark, sf_dir):
     image = F.abs(F.col("doc_id")) % 100 / 100
-    return texts(spark, sf_dir).select("doc_id", T.ocr_reason(F.col("text")).alias("reason"), T.page_type(F.col("text"), image).alias("page_type"))
+    judged = texts(spark, sf_dir).withColumn("reason", T.ocr_reason(F.col("text")))
+    return judged.select("doc_id", "reason", T.page_type(F.col("text"), image, F.col("reason")).alias("page_type"))
 
 
 _INDEX = rf"""(len(ls) >= 3 AND len(list_filter(ls, lambda x: regexp_matches(x, '^\d{{1,3}}\b') AND {count('x')} <= 8)) >= 2

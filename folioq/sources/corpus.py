@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioq.functions.text import compact
+
 #: Books take turns in the numbering of `documents`, so a page's number in its book follows from its id.
 BOOKS = 20
 
@@ -27,7 +29,7 @@ def units(pages: DataFrame) -> DataFrame:
     """One row a non-blank line: the page's columns but the text, reading_order, text, and the box x0, y0, x1, y1."""
     kept = [c for c in pages.columns if c != "text"]
     lines = pages.select(*kept, F.posexplode(F.split("text", "\n")).alias("reading_order", "line"))
-    line = F.trim(F.regexp_replace("line", r"\s+", " "))
+    line = compact(F.col("line"))
     y = F.col("reading_order") * 12.0
     rows = lines.withColumn("text", line).where("text <> ''").drop("line")
     return rows.select(*kept, "reading_order", "text", F.lit(0.0).alias("x0"), y.alias("y0"), F.length("text").cast("double").alias("x1"), (y + 10).alias("y1"))
@@ -46,7 +48,7 @@ def questions(conversations: DataFrame) -> DataFrame:
 
 def html_units(pages: DataFrame) -> DataFrame:
     """Headings, paragraphs, list items and captions of HTML pages in document order, with furniture marked as noise."""
-    found = F.regexp_extract_all("html", F.lit(r"(?is)<(h1|h2|h3|p|li|figcaption|nav|footer)\b[^>]*>(.*?)</\1>"), F.lit(0))
+    found = F.regexp_extract_all("html", F.lit(r"(?is)<(h1|h2|h3|p|li|figcaption|nav|footer)(?!\w)[^>]*>(.*?)</\1>"), F.lit(0))
     rows = pages.select("page_id", F.posexplode(found).alias("reading_order", "element"))
     tag = F.lower(F.regexp_extract("element", "(?is)^<([a-z0-9]+)", 1))
     kind = F.when(tag.rlike("^h[1-3]$"), "heading").when(tag == "figcaption", "caption").when(tag.isin("nav", "footer"), "noise").otherwise("paragraph")
@@ -57,13 +59,13 @@ def html_units(pages: DataFrame) -> DataFrame:
 def html_tables(pages: DataFrame) -> DataFrame:
     """Rows of the tables of HTML pages: (page_id, table, row, table_id, caption, header, cells), tables and rows from 0. Rows without a
     cell are left out; a caption that the first row repeats is taken off it."""
-    found = F.regexp_extract_all("html", F.lit(r"(?is)<table\b[^>]*>(.*?)</table>"), F.lit(1))
+    found = F.regexp_extract_all("html", F.lit(r"(?is)<table(?!\w)[^>]*>(.*?)</table>"), F.lit(1))
     tables = pages.select("page_id", F.posexplode(found).alias("table", "body"))
     plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"(?s)<[^>]*>", " "), r"\s+", " "))
-    caption = plain(F.regexp_extract("body", r"(?is)<caption\b[^>]*>(.*?)</caption>", 1))
-    rows = tables.select("page_id", "table", caption.alias("caption"), F.posexplode(F.regexp_extract_all("body", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))).alias("row", "tr"))
-    cells = F.transform(F.regexp_extract_all("tr", F.lit(r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]>"), F.lit(1)), plain)
-    made = rows.select("page_id", "table", "row", "caption", F.col("tr").rlike(r"(?i)<th\b").alias("header"), cells.alias("cells"))
+    caption = plain(F.regexp_extract("body", r"(?is)<caption(?!\w)[^>]*>(.*?)</caption>", 1))
+    rows = tables.select("page_id", "table", caption.alias("caption"), F.posexplode(F.regexp_extract_all("body", F.lit(r"(?is)<tr(?!\w)[^>]*>(.*?)</tr>"), F.lit(1))).alias("row", "tr"))
+    cells = F.transform(F.regexp_extract_all("tr", F.lit(r"(?is)<t[hd](?!\w)[^>]*>(.*?)</t[hd]>"), F.lit(1)), plain)
+    made = rows.select("page_id", "table", "row", "caption", F.col("tr").rlike(r"(?i)<th(?!\w)").alias("header"), cells.alias("cells"))
     kept = made.where((F.size("cells") > 0) & ~((F.size("cells") == 1) & (F.element_at("cells", 1) == F.col("caption"))))
     return kept.withColumn("table_id", F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(":table:"), F.col("table").cast("string")))
 
