@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioq.functions import text as T
+from folioq.operators.pagewise import by_pages
 
 
 def link_figures(images: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -34,17 +36,19 @@ def page_measures(units: DataFrame) -> DataFrame:
     """One row a page of units (page_id, text, x0, x1): what decides on its parser and on its repair."""
     t, n = F.col("text"), T.word_count(F.col("text"))
     low = F.lower(t)
-    anchor = low.rlike(r"\btable\b|\bs\.?\s*no\b|sample no|parameter")
-    row = t.rlike(T.SERIAL) | F.contains("text", F.lit("|")) | ((T.numbers(t) >= 2) & (n <= 12))
+    is_anchor = low.rlike(r"(?<!\w)table(?!\w)|(?<!\w)s\.?\s*no(?!\w)|sample no|parameter")
+    is_row = t.rlike(T.SERIAL) | F.contains("text", F.lit("|")) | ((T.numbers(t) >= 2) & (n <= 12))
     centre = (F.col("x0") + F.col("x1")) / 2
-    bad, long = T.is_garbled(t), F.length("text") >= 40
+    # What a line's text says is settled before lines meet, so that texts don't travel.
+    size, bad, long, anchor, row, dense = (F.col(c) for c in ("_size", "_bad", "_long", "_anchor", "_row", "_dense"))
+    units = units.select("page_id", centre.alias("_c"), F.length("text").alias("_size"), T.is_garbled(t).alias("_bad"), (F.length("text") >= 40).alias("_long"), is_anchor.alias("_anchor"), is_row.alias("_row"), T.is_numeric_dense(t).alias("_dense"))
     page = Window.partitionBy("page_id")
-    u = units.withColumn("_c", centre).withColumn("_n", F.count(F.lit(1)).over(page)).withColumn("_k", F.row_number().over(page.orderBy("_c")))
+    u = units.withColumn("_n", F.count(F.lit(1)).over(page)).withColumn("_k", F.row_number().over(page.orderBy("_c")))
     u = u.withColumn("_mid", F.max(F.when(F.col("_k") == F.floor(F.col("_n") / 2) + 1, F.col("_c"))).over(page))
     m = u.groupBy("page_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(anchor).alias("anchors"), F.count_if(row).alias("rows"), F.count_if(T.is_numeric_dense(t)).alias("dense"),
+        F.count(F.lit(1)).alias("n"), F.count_if(anchor).alias("anchors"), F.count_if(row).alias("rows"), F.count_if(dense).alias("dense"),
         F.count_if(F.col("_c") <= F.col("_mid")).alias("left"), (F.max("_c") - F.min("_c")).alias("spread"),
-        F.count_if(bad & long).alias("bad_long"), F.count_if(long).alias("long"), F.count_if(bad & (F.length("text") >= 5)).alias("suspect"), F.count_if(F.length("text") >= 5).alias("substantial"),
+        F.count_if(bad & long).alias("bad_long"), F.count_if(long).alias("long"), F.count_if(bad & (size >= 5)).alias("suspect"), F.count_if(size >= 5).alias("substantial"),
     )
     side = F.greatest(F.lit(2), F.floor(F.col("n") * 0.25))
     two = (F.col("n") >= 6) & (F.col("spread") >= 120) & (F.col("left") >= side) & (F.col("n") - F.col("left") >= side)
@@ -131,44 +135,75 @@ def embed_once(queries: DataFrame, embed) -> DataFrame:  # noqa: ANN001
     return queries.join(embed(queries.select("text").distinct()), "text")
 
 
-def _groups_of(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, reach: float) -> np.ndarray:
-    """Component of each box, boxes that overlap after growing by `reach` being linked."""
-    root = np.arange(len(x0))
-    near = (x0[:, None] - reach <= x1 + reach) & (x1[:, None] + reach >= x0 - reach) & (y0[:, None] - reach <= y1 + reach) & (y1[:, None] + reach >= y0 - reach)
-    while True:
-        least = np.where(near, root, len(root)).min(1)
-        if (least == root).all():
-            return root
-        root = least
+def _near_pairs(page: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a, b) of boxes of one page that meet after growing by `reach`, in portions of a row's number at most. Rows are taken
+    by height, and each is held against the next, the one after it, and so on, as long as any can still meet."""
+    low, high = np.minimum(y0, y1), np.maximum(y0, y1)
+    order = np.lexsort((low, page))
+    page, x0, y0, x1, y1, low, high = (c[order] for c in (page, x0, y0, x1, y1, low, high))
+    at = np.arange(len(page))
+    step = 0
+    while len(at):
+        step += 1
+        at = at[at + step < len(page)]
+        # low rises within a page: a row that the one `step` below doesn't reach meets none below that.
+        at = at[(page[at] == page[at + step]) & (low[at + step] - reach <= high[at] + reach)]
+        b = at + step
+        met = (x0[at] - reach <= x1[b] + reach) & (x1[at] + reach >= x0[b] - reach) & (y0[at] - reach <= y1[b] + reach) & (y1[at] + reach >= y0[b] - reach)
+        if met.any():
+            yield order[at[met]], order[b[met]]
+
+
+def _groups_of(page: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, reach: float) -> np.ndarray:
+    """Least row of each box's component, boxes of a page that overlap after growing by `reach` being linked."""
+    root = np.arange(len(page))
+    for a, b in _near_pairs(page, x0, y0, x1, y1, reach):
+        while True:
+            low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+            apart = low != high
+            if not apart.any():
+                break
+            a, b = a[apart], b[apart]
+            np.minimum.at(root, high[apart], low[apart])
+            while (root[root] != root).any():
+                root = root[root]
+    return root
 
 
 def components(placements: DataFrame, reach: float = 10.0) -> DataFrame:
     """Placements (page_id, id, x0, y0, x1, y1) with `component`, the least place in the page's order by id of those linked."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("id")
-        found = _groups_of(*(page[c].to_numpy() for c in ("x0", "y0", "x1", "y1")), reach)
-        return page[["page_id", "id"]].assign(component=found)
+    def run(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        found = _groups_of(c["page_id"], c["x0"], c["y0"], c["x1"], c["y1"], reach)
+        return {"page_id": c["page_id"], "id": c["id"], "component": found - np.searchsorted(c["page_id"], c["page_id"])}
 
-    return placements.groupBy("page_id").applyInPandas(run, "page_id long, id long, component long")
+    return by_pages(placements.select("page_id", "id", "x0", "y0", "x1", "y1"), [F.col("id")], run, "page_id long, id long, component long")
 
 
 def suppress(boxes: DataFrame, most: float = 0.60) -> DataFrame:
     """(page_id, id) of the boxes that stay when, by falling score, each removes those that share `most` of the union with it."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["score", "id"], ascending=[False, True])
-        x0, y0, x1, y1 = (page[c].to_numpy() for c in ("x0", "y0", "x1", "y1"))
-        size, kept = np.maximum(x1 - x0, 0) * np.maximum(y1 - y0, 0), []
-        for k in range(len(page)):
-            w = np.minimum(x1[k], x1[kept]) - np.maximum(x0[k], x0[kept])
-            h = np.minimum(y1[k], y1[kept]) - np.maximum(y0[k], y0[kept])
+    def run(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        x0, y0, x1, y1 = (c[n] for n in ("x0", "y0", "x1", "y1"))
+        size = np.maximum(x1 - x0, 0) * np.maximum(y1 - y0, 0)
+        firsts, lasts = [np.zeros(0, int)], [np.zeros(0, int)]
+        for a, b in _near_pairs(c["page_id"], x0, y0, x1, y1, 0.0):
+            w, h = np.minimum(x1[a], x1[b]) - np.maximum(x0[a], x0[b]), np.minimum(y1[a], y1[b]) - np.maximum(y0[a], y0[b])
             inter = np.where((w > 0) & (h > 0), w * h, 0)
-            if not (inter / np.maximum(size[k] + size[kept] - inter, 1e-9) >= most).any():
-                kept.append(k)
-        return page.iloc[kept][["page_id", "id"]]
-
-    return boxes.groupBy("page_id").applyInPandas(run, "page_id long, id long")
+            alike = inter / np.maximum(size[a] + size[b] - inter, 1e-9) >= most
+            firsts.append(np.minimum(a, b)[alike])
+            lasts.append(np.maximum(a, b)[alike])
+        first, last = np.concatenate(firsts), np.concatenate(lasts)
+        # Rows come by falling score, so the earlier of a pair decides on the later one.
+        keep = [True] * len(x0)
+        order = np.argsort(last, kind="stable")
+        for a, b in zip(first[order].tolist(), last[order].tolist(), strict=True):
+            if keep[a]:
+                keep[b] = False
+        keep = np.array(keep, bool)
+        return {"page_id": c["page_id"][keep], "id": c["id"][keep]}
+
+    return by_pages(boxes.select("page_id", "id", "score", "x0", "y0", "x1", "y1"), [F.desc("score"), F.asc("id")], run, "page_id long, id long")
 
 
 def dedupe_placements(placements: DataFrame, near: float = 0.5) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioq.functions import text as T
+from folioq.operators.pagewise import by_pages
 
 #: Reasons for which a page is sent to recognition.
 SENT = ("scanned", "garbled", "ocr_fallback", "forced")
@@ -56,25 +58,34 @@ def word_lines(rows: DataFrame) -> DataFrame:
     line whose mean centre is nearest, within 0.6 of the upper median height (4 at least), or opens one; lines go down the
     page, words from left to right. The fold runs over one page's words."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.assign(c=(page.y0 + page.y1) / 2)
-        height = (page.y1 - page.y0).clip(lower=1.0).sort_values().tolist()
-        reach = max(4.0, height[len(height) // 2] * 0.6)
-        lines: list[list] = []  # sum of centres, number, members
-        for row in page.sort_values(["c", "x0", "id"]).itertuples():
-            far = [abs(total / n - row.c) for total, n, _ in lines]
-            k = min(range(len(far)), key=far.__getitem__) if far else -1
-            if k >= 0 and far[k] <= reach:
-                lines[k][0] += row.c
-                lines[k][1] += 1
-                lines[k][2].append((row.x0, row.id))
-            else:
-                lines.append([row.c, 1, [(row.x0, row.id)]])
-        lines.sort(key=lambda x: x[0] / x[1])
-        found = [(int(i), n, place) for n, (_, _, members) in enumerate(lines) for place, (_, i) in enumerate(sorted(members))]
-        return pd.DataFrame(found, columns=["id", "line", "place"]).assign(page_id=page.page_id.iloc[0])[["page_id", "id", "line", "place"]]
-
-    return rows.groupBy("page_id").applyInPandas(run, "page_id long, id long, line int, place int")
+    # Words come by height and a line opens only where all others are over `reach` above, so the last line opened stays the lowest and
+    # is the nearest one; no other has to be looked at.
+    def run(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        page, centre = c["page_id"], c["c"]
+        starts = np.flatnonzero(np.r_[True, page[1:] != page[:-1]])
+        ends = np.r_[starts[1:], len(page)]
+        tall = np.maximum(c["y1"] - c["y0"], 1.0)
+        tall = tall[np.lexsort((tall, page))]
+        reaches = np.maximum(4.0, tall[starts + (ends - starts) // 2] * 0.6)
+        line = []
+        for start, end, reach in zip(starts.tolist(), ends.tolist(), reaches.tolist(), strict=True):
+            n, total, members = -1, 0.0, 0
+            for y in centre[start:end].tolist():
+                if members and abs(total / members - y) <= reach:
+                    total += y
+                    members += 1
+                else:
+                    n, total, members = n + 1, y, 1
+                line.append(n)
+        line = np.array(line, np.int32)
+        order = np.lexsort((c["id"], c["x0"], line, page))
+        page, line, ids = page[order], line[order], c["id"][order]
+        opened = np.r_[True, (page[1:] != page[:-1]) | (line[1:] != line[:-1])]
+        at = np.arange(len(page))
+        return {"page_id": page, "id": ids, "line": line, "place": (at - np.maximum.accumulate(np.where(opened, at, 0))).astype(np.int32)}
+
+    centred = rows.select("page_id", "id", "x0", "y0", "y1", ((F.col("y0") + F.col("y1")) / 2).alias("c"))
+    return by_pages(centred, [F.col("c"), F.col("x0"), F.col("id")], run, "page_id long, id long, line int, place int")
 
 
 def either_parse(structured: DataFrame, native: DataFrame) -> DataFrame:

@@ -3,11 +3,18 @@
 import random
 from collections import Counter
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from folioq import catalog
+from folioq.functions import text as T
 from folioq.operators import flow as L
+from folioq.operators import ingest as I
+from folioq.operators import reading as N
 from folioq.operators import retrieval as R
 from folioq.plans import flow, retrieval
+from oracle import both, connect
 
 
 @pytest.fixture
@@ -61,3 +68,77 @@ def test_only_questions_of_the_route_are_searched(spark, sf_dir, monkeypatch, qu
 def test_hits_are_written_once(spark, sf_dir):
     """What reads the fused hits reads them from the shared folder and doesn't search again."""
     assert "MapInArrow" not in retrieval.fused_hits(spark, sf_dir)._jdf.queryExecution().toString()
+
+
+def test_a_text_is_scanned_once_for_each_measure(spark):
+    """Values that several branches name are bound, not computed at each place."""
+    plan = spark.createDataFrame([("x",)], "t string").select(T.detect_script(F.col("t")).alias("s"), T.ocr_reason(F.col("t")).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 1
+    # Meaningful and empty words, mixed ones, mojibake; the text and its lines compacted, and classes of characters of either test.
+    assert plan.count("regexp_extract_all(") == 4 and plan.count("regexp_replace(") <= 9
+
+
+def test_word_boundaries_are_those_of_sql(spark, tmp_path):
+    """A letter that isn't ASCII bounds a word in SQL, whatever the Java version."""
+    lines = ["SSbe underöchß eren, erkeitte mit.", "ö the x", "éthe x", "tablé table 4é", "a table no. 3ß", "étable 3", "1é two\n12é - 13\n4-5é\n6-7"]
+    pd.DataFrame({"doc_id": range(len(lines)), "text": lines}).to_parquet(tmp_path / "documents.parquet")
+    for name in ("line_rows", "ocr_decision"):
+        mine, theirs = both(catalog.QUERIES[name], catalog.ORACLE_SQL[name], spark, str(tmp_path), connect(str(tmp_path)))
+        assert mine == theirs
+
+
+def placed(pages, most, seed):
+    """Random boxes of pages, ids from 0 in each; some are equal, one page is dense, one has a single box."""
+    rnd = random.Random(seed)
+    rows = []
+    for page in range(pages):
+        for i in range(1 if page == 3 else rnd.randrange(1, most)):
+            x, y = rnd.randrange(60), rnd.randrange(40 if page == 1 else 600)
+            rows.append((page, i, float(x), float(y), x + 20.0, y + float(rnd.choice((4, 15, 40))), float(rnd.randrange(5))))
+    return rows
+
+
+def test_page_folds_equal_those_of_one_page(spark):
+    """Pages that are folded together, also over the bounds of batches, against plain folds of a page."""
+    rows = placed(25, 40, 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    boxes = spark.createDataFrame(rows, "page_id long, id long, x0 double, y0 double, x1 double, y1 double, score double")
+    groups = {(r.page_id, r.id): r.component for r in I.components(boxes).collect()}
+    stay = {(r.page_id, r.id) for r in I.suppress(boxes).collect()}
+    lines = {(r.page_id, r.id, r.line, r.place) for r in N.word_lines(boxes).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    kept, linked, read = set(), {}, set()
+    for page in range(25):
+        mine = [r for r in rows if r[0] == page]
+        near = lambda a, b: a[2] - 10 <= b[4] + 10 and a[4] + 10 >= b[2] - 10 and a[3] - 10 <= b[5] + 10 and a[5] + 10 >= b[3] - 10
+        root = list(range(len(mine)))
+        while (least := [min(root[k] for k, b in enumerate(mine) if near(a, b)) for a in mine]) != root:
+            root = least
+        linked |= {(page, r[1]): k for r, k in zip(mine, root, strict=True)}
+        stays = []
+        for r in sorted(mine, key=lambda r: (-r[6], r[1])):
+            shared = [max(0.0, min(r[4], s[4]) - max(r[2], s[2])) * max(0.0, min(r[5], s[5]) - max(r[3], s[3])) for s in stays]
+            area = lambda r: (r[4] - r[2]) * (r[5] - r[3])
+            if all(i / (area(r) + area(s) - i) < 0.6 for i, s in zip(shared, stays, strict=True)):
+                stays.append(r)
+        kept |= {(page, r[1]) for r in stays}
+        tall = sorted(r[5] - r[3] for r in mine)
+        reach, found = max(4.0, tall[len(tall) // 2] * 0.6), []
+        for r in sorted(mine, key=lambda r: ((r[3] + r[5]) / 2, r[2], r[1])):
+            c = (r[3] + r[5]) / 2
+            far = [abs(sum(f[0]) / len(f[0]) - c) for f in found]
+            k = far.index(min(far)) if far and min(far) <= reach else len(found)
+            if k == len(found):
+                found.append(([], []))
+            found[k][0].append(c)
+            found[k][1].append((r[2], r[1]))
+        found.sort(key=lambda f: sum(f[0]) / len(f[0]))
+        read |= {(page, i, n, place) for n, (_, members) in enumerate(found) for place, (_, i) in enumerate(sorted(members))}
+    assert groups == linked and stay == kept and lines == read
+
+
+def test_page_folds_take_whole_batches(spark):
+    """No call of Python for each page."""
+    boxes = spark.createDataFrame(placed(2, 5, 1), "page_id long, id long, x0 double, y0 double, x1 double, y1 double, score double")
+    for fold in (I.components, I.suppress, N.word_lines):
+        assert "FlatMapGroups" not in fold(boxes)._jdf.queryExecution().toString()
