@@ -43,7 +43,7 @@ def words(results: DataFrame) -> DataFrame:
     w = p.select("page_id", "block", "paragraph", F.posexplode("p.words").alias("word", "w"))
     symbols = F.col("w.symbols")
     mean = F.aggregate(symbols, F.lit(0.0), lambda s, x: s + F.coalesce(x["confidence"], F.lit(0.0))) / F.greatest(F.size(symbols), F.lit(1))
-    return w.select("page_id", "block", "paragraph", "word", F.array_join(F.transform(symbols, lambda x: x["text"]), "").alias("text"), F.coalesce("w.confidence", mean).alias("confidence"))
+    return w.select("page_id", "block", "paragraph", "word", F.array_join(F.col("w.symbols.text"), "").alias("text"), F.coalesce("w.confidence", mean).alias("confidence"))
 
 
 def paragraphs(rows: DataFrame) -> DataFrame:
@@ -53,6 +53,26 @@ def paragraphs(rows: DataFrame) -> DataFrame:
     return g.agg(F.array_join(F.transform(listed, lambda x: x["text"]), " ").alias("text"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("confidence"), F.coalesce(F.max("confidence"), F.lit(0.0)).alias("best"), F.count(F.lit(1)).alias("words"))
 
 
+def read_paragraphs(results: DataFrame) -> DataFrame:
+    """paragraphs of the words of `results`. The words of a paragraph stay in one row, so that paragraphs are grouped, not words."""
+
+    def word(w: Column, i: Column) -> Column:
+        symbols = w["symbols"]
+        mean = F.aggregate(symbols["confidence"], F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))) / F.greatest(F.size(symbols), F.lit(1))
+        return F.struct(i.alias("word"), F.array_join(symbols["text"], "").alias("text"), F.coalesce(w["confidence"], mean).alias("confidence"))
+
+    b = results.select("page_id", F.posexplode("blocks").alias("block", "b"))
+    p = b.select("page_id", "block", F.posexplode("b.paragraphs").alias("paragraph", "p"))
+    kept = p.select("page_id", "block", "paragraph", F.filter(F.transform("p.words", word), lambda x: x["text"] != "").alias("w")).where("size(w) > 0")
+    g = kept.groupBy("page_id", "block", "paragraph").agg(F.array_sort(F.flatten(F.collect_list("w"))).alias("w"))
+    sure = F.array_compact("w.confidence")
+    total = F.aggregate("w.confidence", F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    return g.select(
+        "page_id", "block", "paragraph", F.array_join("w.text", " ").alias("text"), F.when(F.size(sure) > 0, total / F.size(sure)).otherwise(0.0).alias("confidence"), F.coalesce(F.array_max("w.confidence"), F.lit(0.0)).alias("best"),
+        F.size("w").cast("long").alias("words"),
+    )
+
+
 def word_lines(rows: DataFrame) -> DataFrame:
     """(page_id, id, line, place): words (id, x0, y0, x1, y1) of a page in lines. A word, in order of its centre's height, joins the
     line whose mean centre is nearest, within 0.6 of the upper median height (4 at least), or opens one; lines go down the

@@ -39,7 +39,7 @@ def ocr_words(spark, sf_dir):
     word = lambda w, i: F.struct(F.transform(F.split(w, ""), symbol).alias("symbols"), F.when(i % 3 == 0, (F.length(w) % 5) / 4).alias("confidence"))
     line = lambda x: F.struct(F.transform(T.word_list(x), word).alias("words"))
     blocks = F.transform(F.split("text", "\n"), lambda x: F.struct(F.array(line(x)).alias("paragraphs")))
-    found = R.paragraphs(R.words(docs.select(F.col("doc_id").alias("page_id"), blocks.alias("blocks"))))
+    found = R.read_paragraphs(docs.select(F.col("doc_id").alias("page_id"), blocks.alias("blocks")))
     return found.select("page_id", "block", "paragraph", F.md5(F.col("text").cast("binary")).alias("digest"), F.round("confidence", 6).alias("confidence"), F.round("best", 6).alias("best"), "words")
 
 
