@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 def by_pages(rows: DataFrame, order: list[Column], run: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str) -> DataFrame:
     """run(columns) of whole pages at a time, their rows by page_id and `order`; `columns` are arrays by name. A page is never
-    parted, so no more is held than a batch and one page. Columns must be numbers; rows without page_id are one page, as -1."""
+    parted, so no more is held than a batch and one page. Columns must be numbers or texts; rows without page_id are one page, as -1."""
     names = rows.columns
     rows = rows.withColumn("page_id", F.coalesce(F.col("page_id").cast("long"), F.lit(-1)))
     fields = [part.split() for part in schema.split(", ")]

@@ -6,6 +6,7 @@ and route. Windows run over a page; what is counted over a book is summed page b
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,7 +14,9 @@ from pyspark.sql.window import Window
 from folioq.functions import text as T
 from folioq.operators import chunking as C
 from folioq.operators.layout import PAGES
+from folioq.operators.pagewise import by_pages
 from folioq.operators.retrieval import top
+from folioq.sources.shared import stash
 
 #: Routes and engines whose text was recognised rather than read.
 RECOGNISED, ENGINES = ("ocr", "ocr_fallback", "scanned"), ("vision", "ocr")
@@ -31,10 +34,7 @@ def page_chunks(units: DataFrame) -> DataFrame:
     fact = F.struct("reading_order", "kind", T.word_count(F.col("text")).alias("n"), "text", "section", "unit_id", "languages", "scripts", "engine")
     pages = kept.groupBy("book", "page_number", "page_id", "route").agg(F.array_sort(F.collect_list(fact)).alias("u"))
     pick = lambda name: F.transform("u", lambda x: x[name])
-    numbered = pages.withColumn("g", C.group_numbers(F.col("u")))
-    each = numbered.select("book", "page_number", "page_id", "route", "u", "g", F.explode(F.array_distinct("g")).alias("chunk"))
-    own = F.transform(F.filter(F.arrays_zip("u", "g"), lambda x: x["g"] == F.col("chunk")), lambda x: x["u"])
-    m = each.withColumn("u", own).drop("g")
+    m = C.grouped(pages, ["book", "page_number", "page_id", "route"])
     kinds, text = pick("kind"), F.array_join(pick("text"), "\n\n")
     typed = m.select(
         "book", "page_number", "page_id", "route", "chunk", text.alias("text"), C.chunk_type(kinds, text, F.size("u")).alias("chunk_type"), F.element_at(pick("section"), -1).alias("section"), pick("unit_id").alias("unit_ids"),
@@ -47,7 +47,8 @@ def page_chunks(units: DataFrame) -> DataFrame:
 
 def chunk_records(units: DataFrame) -> DataFrame:
     """Chunks with `ordinal`, counted from 0 through the book, and `chunk_id` book:pPAGE-PAGE:type:ordinal."""
-    chunks = page_chunks(units)
+    # Read again for the numbers of chunks, and by what reads the records several times.
+    chunks = stash(page_chunks(units), "chunks")
     sizes = chunks.groupBy("book", "page_number", "page_id").agg(F.count(F.lit(1)).alias("chunks"))
     # Sums of the blocks of pages before, then of the block's pages before.
     sizes = sizes.withColumn("_block", F.floor(F.col("page_number") / PAGES))
@@ -90,21 +91,39 @@ def keep_longest(units: DataFrame, least: int = 30, share: float = 0.60) -> Data
     takes its place if its text is longer, and goes if not. Like: both `least` characters or more, one's text within the
     other's, `share` of the lower height in common. The fold runs over one page's units."""
     t = F.lower(T.compact(F.coalesce("text", F.lit(""))))
-    fact = F.struct("column_id", "y0", "x0", "reading_order", "y1", t.alias("t"))
-    pages = units.groupBy("page_id").agg(F.array_sort(F.collect_list(fact)).alias("u"))
-
-    def alike(a: Column, b: Column) -> Column:
-        common = F.greatest(F.lit(0.0), F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"]))
-        height = F.greatest(F.lit(1.0), F.least(a["y1"] - a["y0"], b["y1"] - b["y0"]))
-        return (F.length(a["t"]) >= least) & (F.length(b["t"]) >= least) & (F.contains(a["t"], b["t"]) | F.contains(b["t"], a["t"])) & (common / height >= share)
-
-    def step(kept: Column, unit: Column) -> Column:
-        first = F.array_position(F.transform(kept, lambda x: alike(x, unit)), F.lit(True)).cast("int")
-        swap = F.transform(kept, lambda x, i: F.when((i == first - 1) & (F.length(unit["t"]) > F.length(x["t"])), unit).otherwise(x))
-        return F.when(first == 0, F.concat(kept, F.array(unit))).otherwise(swap)
-
-    kept = F.aggregate("u", F.slice("u", 1, 0), step)
-    return pages.select("page_id", F.posexplode(kept).alias("place", "k")).select("page_id", F.col("k.reading_order").alias("reading_order"), "place")
+    facts = units.select("page_id", "column_id", "y0", "x0", "reading_order", "y1", F.when(F.length(t) >= least, t).otherwise("").alias("t"))
+
+    def run(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        page, column, top, end, text = (c[n].tolist() for n in ("page_id", "column_id", "y0", "y1", "t"))
+        kept: list[int] = []  # row of each slot
+        starts: list[int] = []  # slot with which each row's page begins
+        open_: list[int] = []  # slots that units from here on can overlap
+        first = 0
+        for k in range(len(page)):
+            if k == 0 or page[k] != page[k - 1]:
+                first, open_ = len(kept), []
+            elif column[k] != column[k - 1]:
+                open_ = list(range(first, len(kept)))  # heights begin anew
+            open_ = [s for s in open_ if end[kept[s]] > top[k]]
+            found = None
+            if text[k]:
+                for s in open_:
+                    o = kept[s]
+                    if text[o] and (text[o] in text[k] or text[k] in text[o]):
+                        common = max(0.0, min(end[o], end[k]) - max(top[o], top[k]))
+                        if common / max(1.0, min(end[o] - top[o], end[k] - top[k])) >= share:
+                            found = s
+                            break
+            if found is None:
+                open_.append(len(kept))
+                starts.append(first)
+                kept.append(k)
+            elif len(text[k]) > len(text[kept[found]]):
+                kept[found] = k
+        rows = np.array(kept, int)
+        return {"page_id": c["page_id"][rows], "reading_order": c["reading_order"][rows], "place": np.arange(len(rows)) - np.array(starts, int)}
+
+    return by_pages(facts, [F.col(n) for n in ("column_id", "y0", "x0", "reading_order")], run, "page_id long, reading_order int, place int")
 
 
 def page_images(pages: DataFrame, images: DataFrame) -> DataFrame:
