@@ -276,33 +276,42 @@ def numbers(flat: Column) -> Column:
 SERIAL = r"^\d{1,3}[.)]?\s+"
 
 
+def _words_of(flat: Column) -> Column:
+    """Number of words of a compact text that isn't empty."""
+    return F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + 1
+
+
 def is_table_row(text: Column, exempt_sections: bool = False) -> Column:
     """The builder's test; with `exempt_sections` the native parser's, which spares numbered section titles."""
-    flat = compact(F.coalesce(text, F.lit("")))
-    n, serial = word_count(flat), flat.rlike(SERIAL)
-    low = F.lower(flat)
-    spared = low.rlike(SERIAL + f"({SECTIONS})") if exempt_sections else F.lit(False)
-    return (flat != "") & (
-        low.rlike(r"^(table |table no|s\.no|sample no)")
-        | (~spared & ((serial & ((n <= 4) | ((numbers(flat) >= 2) & (n <= 12)))) | ((numbers(flat) >= 3) & (n <= 12))))
-    )
+
+    def row(flat: Column, n: Column) -> Column:
+        # The patterns begin the text and need no more of it than this.
+        low, serial = F.lower(F.left(flat, F.lit(64))), flat.rlike(SERIAL)
+        spared = low.rlike(SERIAL + f"({SECTIONS})") if exempt_sections else F.lit(False)
+        return (flat != "") & (
+            low.rlike(r"^(table |table no|s\.no|sample no)") | ((n <= 12) & ~spared & ((serial & ((n <= 4) | (numbers(flat) >= 2))) | (numbers(flat) >= 3)))
+        )
+
+    return let(compact(F.coalesce(text, F.lit(""))), lambda flat: let(_words_of(flat), lambda n: row(flat, n)))
 
 
 def is_loose_table_row(text: Column) -> Column:
     """The chunker's test."""
-    flat = compact(F.coalesce(text, F.lit("")))
-    low, n = F.lower(flat), word_count(flat)
-    unit = flat.rlike("[%°]")
-    filler = F.exists(word_list(low), lambda w: w.isin("nil", "na", "n/a", "nd"))
-    alphabetic = F.exists(word_list(flat), lambda w: w.rlike(r"^\p{L}+$"))
-    return (flat != "") & (
-        F.when(low.rlike(r"^(table |fig|s\.no|sample no)"), True)
-        .when(flat.rlike(SERIAL) & (n <= 4), True)
-        .when(filler, n <= 12)
-        .when(unit, (n <= 12) & ((numbers(flat) >= 1) | alphabetic))
-        .when((numbers(flat) >= 2) & (n <= 12), True)
-        .otherwise((F.regexp_count(flat, F.lit(r"\d")) >= 6) & (n <= 12))
-    )
+
+    def row(flat: Column, n: Column) -> Column:
+        low = F.lower(flat)
+        alphabetic = F.exists(word_list(flat), lambda w: w.rlike(r"^\p{L}+$"))
+        return (flat != "") & (
+            F.when(F.lower(F.left(flat, F.lit(64))).rlike(r"^(table |fig|s\.no|sample no)"), True)
+            .when(n > 12, False)
+            .when(flat.rlike(SERIAL) & (n <= 4), True)
+            .when(F.exists(word_list(low), lambda w: w.isin("nil", "na", "n/a", "nd")), True)
+            .when(flat.rlike("[%°]"), (numbers(flat) >= 1) | alphabetic)
+            .when(numbers(flat) >= 2, True)
+            .otherwise(F.regexp_count(flat, F.lit(r"\d")) >= 6)
+        )
+
+    return let(compact(F.coalesce(text, F.lit(""))), lambda flat: let(_words_of(flat), lambda n: row(flat, n)))
 
 
 def is_table_anchor(text: Column) -> Column:

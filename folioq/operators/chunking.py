@@ -27,16 +27,21 @@ def group_numbers(units: Column, target: int = TARGET, cap: int = CAP) -> Column
     return F.aggregate(units, start, step, lambda s: s["out"])
 
 
+def grouped(pages: DataFrame, key: list[str]) -> DataFrame:
+    """One row a chunk (key, chunk, u: its units in order) of pages (key, u: all units in order). A unit goes to its chunk once; the
+    pages' partitions hold, as their key is part of the chunks'."""
+    each = pages.withColumn("g", group_numbers(F.col("u"))).select(*key, F.posexplode(F.arrays_zip("u", "g")).alias("_at", "x"))
+    own = each.groupBy(*key, F.col("x.g").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("_at", F.col("x.u").alias("u")))).alias("m"))
+    return own.select(*key, "chunk", F.transform("m", lambda x: x["u"]).alias("u"))
+
+
 def pack(units: DataFrame) -> DataFrame:
     """(book, page_number, page_id, chunk, units, kinds, text) from units with a kind; noise and labels are left out."""
     kept = units.where(~F.col("kind").isin("noise", "label"))
     fact = F.struct("reading_order", "kind", T.word_count(F.col("text")).alias("n"), "text")
     pages = kept.groupBy("book", "page_number", "page_id").agg(F.array_sort(F.collect_list(fact)).alias("u"))
-    numbered = pages.withColumn("g", group_numbers(F.col("u")))
-    each = numbered.select("book", "page_number", "page_id", "u", "g", F.explode(F.array_distinct("g")).alias("chunk"))
-    own = F.transform(F.filter(F.arrays_zip("u", "g"), lambda x: x["g"] == F.col("chunk")), lambda x: x["u"])
-    one = each.select("book", "page_number", "page_id", "chunk", own.alias("m"))
-    return one.select("book", "page_number", "page_id", "chunk", F.size("m").alias("units"), F.transform("m", lambda x: x["kind"]).alias("kinds"), F.array_join(F.transform("m", lambda x: x["text"]), "\n\n").alias("text"))
+    one = grouped(pages, ["book", "page_number", "page_id"])
+    return one.select("book", "page_number", "page_id", "chunk", F.size("u").alias("units"), F.transform("u", lambda x: x["kind"]).alias("kinds"), F.array_join(F.transform("u", lambda x: x["text"]), "\n\n").alias("text"))
 
 
 def word_windows(df: DataFrame, text: str = "text", size: int = CAP, overlap: int = OVERLAP) -> DataFrame:
@@ -57,7 +62,7 @@ def chunk_type(kinds: Column, text: Column, units: Column) -> Column:
     rows = F.size(F.filter(kinds, lambda k: k == "table_row"))
     loose = F.size(F.filter(F.split(text, "\n\n"), T.is_loose_table_row))
     half = F.floor(units / 2)
-    table = F.lower(T.compact(text)).startswith("table ") | (rows >= F.greatest(F.lit(1), half)) | ((loose >= 2) & (loose >= F.greatest(F.lit(2), half)))
+    table = text.rlike(r"(?i)^\s*table\s+\S") | (rows >= F.greatest(F.lit(1), half)) | (loose >= F.greatest(F.lit(2), half))
     return F.when(first == "caption", "image_caption").when(first == "shloka", "shloka").when(table, "table_text").when(first == "heading", "section_intro").otherwise("paragraph")
 
 

@@ -12,8 +12,9 @@ from folioq.functions import text as T
 from folioq.operators import flow as L
 from folioq.operators import ingest as I
 from folioq.operators import reading as N
+from folioq.operators import records as D
 from folioq.operators import retrieval as R
-from folioq.plans import flow, retrieval
+from folioq.plans import flow, pages, reading, records, retrieval
 from oracle import both, connect
 
 
@@ -142,3 +143,40 @@ def test_page_folds_take_whole_batches(spark):
     boxes = spark.createDataFrame(placed(2, 5, 1), "page_id long, id long, x0 double, y0 double, x1 double, y1 double, score double")
     for fold in (I.components, I.suppress, N.word_lines):
         assert "FlatMapGroups" not in fold(boxes)._jdf.queryExecution().toString()
+
+
+def test_longest_units_stay(spark):
+    """Against the fold that holds every unit against all kept before; heights and columns in any mixture."""
+    rnd = random.Random(3)
+    rows = [(p, i, rnd.randrange(2), float(rnd.randrange(9) * 6), float(rnd.randrange(3)), 10.0 + rnd.randrange(6), "a long enough line of words, the " * (1 if i % 4 else 2) + "xy" * rnd.randrange(3)) for p in range(8) for i in range(30)]
+    rows = [(p, i, c, y, x, y + h, t[: rnd.choice((20, 99))]) for p, i, c, y, x, h, t in rows]
+    units = spark.createDataFrame(rows, "page_id long, reading_order int, column_id int, y0 double, x0 double, y1 double, text string")
+    wanted = set()
+    for page in range(8):
+        kept = []
+        for u in sorted((r for r in rows if r[0] == page), key=lambda r: (r[2], r[3], r[4], r[1])):
+            t = u[6].strip()
+
+            def alike(o):
+                s, common = o[6].strip(), max(0.0, min(o[5], u[5]) - max(o[3], u[3]))
+                return min(len(s), len(t)) >= 30 and (s in t or t in s) and common / max(1.0, min(o[5] - o[3], u[5] - u[3])) >= 0.6
+
+            at = next((k for k, o in enumerate(kept) if alike(o)), None)
+            if at is None:
+                kept.append(u)
+            elif len(t) > len(kept[at][6].strip()):
+                kept[at] = u
+        wanted |= {(page, u[1], n) for n, u in enumerate(kept)}
+    assert {tuple(r) for r in D.keep_longest(units).select("page_id", "reading_order", "place").collect()} == wanted
+    assert "aggregate(" not in D.keep_longest(units)._jdf.queryExecution().toString()
+
+
+def test_steps_over_nested_words_and_chunks(spark, sf_dir):
+    """Paragraphs are grouped, not their words; chunks are made once for all that reads them; a chunk's units go to it without a
+    copy of the page."""
+    words = reading.ocr_words(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert words.count("Generate") == 2
+    chunks = records.document_chunks(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "documents.parquet" not in chunks and "aggregate(" not in chunks
+    packed = pages.chunk_packing(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct(" not in packed
